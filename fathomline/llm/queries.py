@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_duplicates import NearDuplicates
+from .packing import BestFitPacker
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,21 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates().find(table(spark, sf_dir, "documents"))
 
 
+def byte_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BestFitPacker(byte_bpe_path()).pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash_near_dedup": op2_minhash_near_dedup}
+    return {
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op4_best_fit_packing": op4_best_fit_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
