@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .near_duplicates import NearDuplicates
 from .packing import BestFitPacker
+from .quality import QualityClassifier
+from .toxicity import ToxicityClassifier
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +30,20 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return BestFitPacker(byte_bpe_path()).pack(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QualityClassifier().score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ToxicityClassifier().score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op6_quality_classifier": op6_quality_classifier,
+        "op9_toxicity": op9_toxicity,
     }
 
 
