@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .near_duplicates import NearDuplicates
 from .packing import BestFitPacker
 from .quality import QualityClassifier
+from .secret_scan import SecretScanner
 from .toxicity import ToxicityClassifier
 
 
@@ -30,6 +31,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return BestFitPacker(byte_bpe_path()).pack(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SecretScanner().scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QualityClassifier().score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_secret_scan": op5_secret_scan,
         "op6_quality_classifier": op6_quality_classifier,
         "op9_toxicity": op9_toxicity,
     }
