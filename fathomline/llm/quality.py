@@ -11,19 +11,17 @@ of the strengths.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
 from .labelled import fold, labelled_sample
-from .storage import Scratch
 
 FEATURES = (
     "log_bytes", "space", "upper", "digit", "stop_marks", "shout_marks", "bars", "symbols", "other_marks", "non_ascii",
@@ -84,17 +82,16 @@ def layout_features(texts: pa.Array) -> np.ndarray:
     ])
 
 
-def feature_rows(measure):
-    """A mapInArrow function: ``id`` and the measured features of ``text``."""
+def feature_column(measure, text: Column) -> Column:
+    """The measured features of a text as an array column; texts never leave their partition."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in B.passes(whole, "text"):
-                x = np.ascontiguousarray(measure(batch.column("text")), np.float64)
-                at = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(x.ravel()))], names=["id", "x"])
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        parts = [np.ascontiguousarray(measure(part.column("text")), np.float64) for part in B.passes(batch, "text")]
+        x = np.concatenate(parts) if parts else np.zeros((0, 1))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
-    return run
+    return F.arrow_udf(run, "array<double>")(text.cast("string"))
 
 
 @dataclass(frozen=True)
@@ -112,7 +109,7 @@ class QualityClassifier:
 
     ``fit`` learns from at most ``bound`` labelled rows and ``pairs`` preference
     pairs. ``score`` returns ``doc_id, held_out, score, predicted, strength``
-    for every row of the documents.
+    for every row of the documents, ``keep`` the documents that aren't rejected.
 
     Defined cases: a null text counts as empty and is scored like any other. A
     null id is scored and not held out. Repeated rows are each scored. If the
@@ -124,14 +121,12 @@ class QualityClassifier:
     def __init__(self, bound: int = 20_000, pairs: int = 40_000, parts: int = 4, held_out: int = 2, accept: float = 0.7, ridge: float = 1e-3):
         self.bound, self.pairs, self.parts, self.held_out, self.accept, self.ridge = bound, pairs, parts, held_out, accept, ridge
 
-    def features(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        return source.mapInArrow(feature_rows(layout_features), "id long, x array<double>")
-
-    def fit(self, features: DataFrame, labels: DataFrame) -> QualityModel:
-        spark = features.sparkSession
+    def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
+        spark = docs.sparkSession
         sample = labelled_sample(labels, "quality", self.bound, self.parts, self.held_out)
-        rows = features.join(F.broadcast(sample), "id").select("x", "y").limit(2 * self.bound).collect()  # bounded by the sample
+        source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        known = source.join(F.broadcast(sample), "id")  # the sample is bounded
+        rows = known.select(feature_column(layout_features, F.col("text")).alias("x"), "y").collect()
         x = np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES))
         y = np.array([r.y for r in rows], int)
         x, y = x[order := np.lexsort((*x.T, y))], y[order]
@@ -154,22 +149,23 @@ class QualityClassifier:
         slope = _slope(s - cut, y)
         return QualityModel(tuple(w), tuple(center), tuple(scale), cut, share, slope)
 
-    def score(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        features = Scratch(docs.sparkSession, "quality").save(self.features(docs, id_col, text_col))
-        m = self.fit(features, labels)
-        strength = sum((F.get("x", F.lit(j)) - c) / s * w for j, (w, c, s) in enumerate(zip(m.weights, m.center, m.scale)))
-        score = 1 / (1 + F.exp(-(F.col("strength") - m.cut) * m.slope - math.log(self.accept / (1 - self.accept))))
-        return (
-            features.withColumn("strength", strength)
-            .withColumn("score", F.when(F.col("strength") == m.cut, F.lit(self.accept)).otherwise(score))
-            .select(
-                F.col("id").alias("doc_id"),
-                F.coalesce(fold("id", self.parts) == self.held_out, F.lit(False)).alias("held_out"),
-                "score",
-                (F.col("score") >= self.accept).cast("int").alias("predicted"),
-                "strength",
-            )
-        )
+    def _strength(self, model: QualityModel) -> Column:
+        return sum((F.get("x", F.lit(j)) - c) / s * w for j, (w, c, s) in enumerate(zip(model.weights, model.center, model.scale)))
+
+    def _score(self, model: QualityModel, strength: Column) -> Column:
+        curve = 1 / (1 + F.exp(-(strength - model.cut) * model.slope - math.log(self.accept / (1 - self.accept))))
+        return F.when(strength >= model.cut, F.greatest(curve, F.lit(self.accept))).otherwise(F.least(curve, F.lit(math.nextafter(self.accept, 0))))
+
+    def score(self, docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        measured = docs.select(F.col(id_col).cast("long").alias("doc_id"), feature_column(layout_features, F.col(text_col)).alias("x"))
+        scored = measured.withColumn("strength", self._strength(model)).withColumn("score", self._score(model, F.col("strength")))
+        held_out = F.coalesce(fold("doc_id", self.parts) == self.held_out, F.lit(False)).alias("held_out")
+        return scored.select("doc_id", held_out, "score", (F.col("score") >= self.accept).cast("int").alias("predicted"), "strength")
+
+    def keep(self, docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
+        """The documents that aren't rejected, with all their columns."""
+        measured = docs.select(F.struct("*").alias("d"), feature_column(layout_features, F.col(text_col)).alias("x"))
+        return measured.where(self._strength(model) >= model.cut).select("d.*")
 
 
 def _best_share(s: np.ndarray, y: np.ndarray) -> float:

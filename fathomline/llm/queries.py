@@ -36,11 +36,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QualityClassifier().score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs, quality = table(spark, sf_dir, "documents"), QualityClassifier()
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ToxicityClassifier().score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs, toxicity = table(spark, sf_dir, "documents"), ToxicityClassifier()
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

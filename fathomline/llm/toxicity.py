@@ -10,18 +10,19 @@ calibrated by isotonic regression on labelled rows that the trees haven't seen.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
 from .labelled import fold, labelled_sample
-from .quality import _within, feature_rows
+from .quality import _within, feature_column
 from .storage import Scratch
 
 # Common insults, and second-person pronouns, in the corpus's languages.
@@ -157,6 +158,15 @@ def _distinct_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(labels).astype(np.int64))], names=["stem", "y"])
 
 
+@dataclass(frozen=True)
+class ToxicityModel:
+    """The fitted measure, its trees (None where one class was missing) and the knots of the calibration curve."""
+
+    measure: _Measure
+    trees: GBTClassificationModel | None
+    curve: tuple[tuple[float, float], ...]
+
+
 class ToxicityClassifier:
     """Scores documents for toxicity; ``predicted`` is 1 from 0.5 on.
 
@@ -164,7 +174,7 @@ class ToxicityClassifier:
     rows outside the held-out fold; a quarter of them, dealt by a hash of the
     id, is kept from lexicon and trees and calibrates their margin. At most ``lexicon`` stems
     enter the learned lexicon. ``score`` returns ``doc_id, held_out, score,
-    predicted, margin``.
+    predicted, margin``, ``keep`` the documents that score below 0.5.
 
     Defined cases: a null text counts as empty and is scored like any other. A
     null id is scored and not held out. Repeated rows are each scored. If the
@@ -177,14 +187,10 @@ class ToxicityClassifier:
         self.bound, self.parts, self.held_out, self.lexicon = bound, parts, held_out, lexicon
         self.least_docs, self.least_odds, self.reach, self.trees, self.depth = least_docs, least_odds, reach, trees, depth
 
-    @staticmethod
-    def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def learn_lexicon(self, source: DataFrame, sample: DataFrame, totals: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and log-odds of the stems that mark toxic documents of the sample."""
-        texts = source.join(F.broadcast(sample), "id").select("text", "y")  # the sample is bounded
-        counts = texts.mapInArrow(_distinct_stems, "stem long, y long").groupBy("stem").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    def learn_lexicon(self, texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and log-odds of the stems that mark toxic ones among ``texts(text, y)``."""
+        totals = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        counts = texts.select("text", "y").mapInArrow(_distinct_stems, "stem long, y long").groupBy("stem").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
         odds = F.log((F.col("bad") + 0.5) / (totals.get(1, 0) + 1.0)) - F.log((F.col("good") + 0.5) / (totals.get(0, 0) + 1.0))
         best = (
             counts.where(F.col("bad") >= self.least_docs)
@@ -197,37 +203,46 @@ class ToxicityClassifier:
         )
         return np.array([r.stem for r in best], np.int64).view(np.uint64), np.array([r.odds for r in best], float)
 
-    def score(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        spark = docs.sparkSession
-        scratch = Scratch(spark, "toxicity")
-        source = self._source(docs, id_col, text_col)
-        sample = scratch.save(
-            labelled_sample(labels, "toxic", self.bound, self.parts, self.held_out).withColumn("calibrates", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(4)) == 0)
-        )
-        totals = {r.y: r.n for r in sample.where("not calibrates").groupBy("y").agg(F.count("*").alias("n")).collect()}
-        keys, odds = self.learn_lexicon(source, sample.where("not calibrates"), totals)
-        features = scratch.save(source.mapInArrow(feature_rows(_Measure(keys, odds, self.reach)), "id long, x array<double>"))
-        known = features.join(F.broadcast(sample), "id").select(array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label"), "calibrates")
-        known = scratch.save(known.select(vector_to_array("features").alias("x"), "label", "calibrates").coalesce(4)).select(array_to_vector("x").alias("features"), "label", "calibrates")
-        seen = {(r.label, r.calibrates): r.n for r in known.groupBy("label", "calibrates").agg(F.count("*").alias("n")).collect()}
-        ids = F.col("id").alias("doc_id"), F.coalesce(fold("id", self.parts) == self.held_out, F.lit(False)).alias("held_out")
-        if not all(seen.get((y, False)) for y in (0.0, 1.0)):
+    def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+        scratch = Scratch(docs.sparkSession, "toxicity")
+        sample = labelled_sample(labels, "toxic", self.bound, self.parts, self.held_out)
+        source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        calibrates = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(4)) == 0
+        known = scratch.save(source.join(F.broadcast(sample), "id").select("text", "y", calibrates.alias("calibrates")))  # the sample is bounded
+        keys, odds = self.learn_lexicon(known.where("not calibrates"))
+        measure = _Measure(keys, odds, self.reach)
+        seen = {(r.y, r.calibrates): r.n for r in known.groupBy("y", "calibrates").agg(F.count("*").alias("n")).collect()}
+        if not seen.get((0, False)) or not seen.get((1, False)):
             share = sum(n for (y, _), n in seen.items() if y) / max(1, sum(seen.values()))
-            return features.select(*ids, F.lit(float(share)).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"), F.lit(0.0).alias("margin"))
-        trees = GBTClassifier(maxIter=self.trees, maxDepth=self.depth, stepSize=0.3, subsamplingRate=0.8, seed=5, featureSubsetStrategy="all").fit(known.where("not calibrates"))
-        margin = vector_to_array("rawPrediction")[1].alias("margin")
-        calibration = trees.transform(known.where("calibrates")).select(margin, "label")
-        if not seen.get((0.0, True)) or not seen.get((1.0, True)):
-            calibration = trees.transform(known).select(margin, "label")
-        curve = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(calibration)
-        scored = trees.transform(features.select("id", array_to_vector("x").alias("features"))).select("id", margin)
-        score = _along(curve.boundaries.toArray(), curve.predictions.toArray())
-        return scored.withColumn("score", score).select(*ids, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "margin")
-
-
-def _along(bounds: np.ndarray, values: np.ndarray):
+            return ToxicityModel(measure, None, ((0.0, share),))
+        measured = known.select(feature_column(measure, F.col("text")).alias("x"), F.col("y").cast("double").alias("label"), "calibrates")
+        measured = scratch.save(measured.coalesce(4)).select(array_to_vector("x").alias("features"), "label", "calibrates")
+        trees = GBTClassifier(maxIter=self.trees, maxDepth=self.depth, stepSize=0.3, subsamplingRate=0.8, seed=5, featureSubsetStrategy="all").fit(measured.where("not calibrates"))
+        both = seen.get((0, True)) and seen.get((1, True))
+        margins = trees.transform(measured.where("calibrates") if both else measured).select(vector_to_array("rawPrediction")[1].alias("margin"), "label")
+        curve = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(margins)
+        return ToxicityModel(measure, trees, tuple(zip(curve.boundaries.toArray().tolist(), curve.predictions.toArray().tolist())))
+
+    def _scored(self, rows: DataFrame, model: ToxicityModel, text: Column) -> DataFrame:
+        """The rows, with ``margin`` and ``score``."""
+        if model.trees is None:
+            return rows.withColumn("margin", F.lit(0.0)).withColumn("score", F.lit(float(model.curve[0][1])))
+        measured = rows.withColumn("features", array_to_vector(feature_column(model.measure, text)))
+        scored = model.trees.transform(measured).withColumn("margin", vector_to_array("rawPrediction")[1])
+        return scored.withColumn("score", _along(model.curve))
+
+    def score(self, docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        held_out = F.coalesce(fold("doc_id", self.parts) == self.held_out, F.lit(False)).alias("held_out")
+        return self._scored(rows, model, F.col("text")).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "margin")
+
+    def keep(self, docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+        """The documents that aren't judged toxic, with all their columns."""
+        return self._scored(docs.select(F.struct("*").alias("d")), model, F.col(f"d.`{text_col}`")).where("score < 0.5").select("d.*")
+
+
+def _along(knots: tuple[tuple[float, float], ...]) -> Column:
     """The calibration curve over ``margin``: linear between its knots, with a slight slope so that it keeps the margin's order."""
-    knots = [(float(b), float(v)) for b, v in zip(bounds, values)]
     kept = [k for i, k in enumerate(knots) if i in (0, len(knots) - 1) or not knots[i - 1][1] == k[1] == knots[i + 1][1]]
     x = F.col("margin")
     curve = F.when(x <= kept[0][0], F.lit(kept[0][1]))
