@@ -12,6 +12,10 @@ from .packing import BestFitPacker
 from .quality import QualityClassifier
 from .secret_scan import SecretScanner
 from .toxicity import ToxicityClassifier
+from .url_filter import UrlFilter
+
+#: The rules of the url query, (verdict, host, path).
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +49,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EmbeddingDuplicates().find(table(spark, sf_dir, "embeddings"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return UrlFilter(URL_RULES).judge(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, toxicity = table(spark, sf_dir, "documents"), ToxicityClassifier()
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -57,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": op5_secret_scan,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
+        "op8_url_filter": op8_url_filter,
         "op9_toxicity": op9_toxicity,
     }
 
