@@ -11,6 +11,7 @@ from .near_duplicates import NearDuplicates
 from .packing import BestFitPacker
 from .quality import QualityClassifier
 from .secret_scan import SecretScanner
+from .topk_search import TopKSearch
 from .toxicity import ToxicityClassifier
 from .url_filter import UrlFilter
 
@@ -58,6 +59,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20 is a query against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return TopKSearch().search(docs.where("doc_id % 20 = 0"), docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -67,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op8_url_filter": op8_url_filter,
         "op9_toxicity": op9_toxicity,
+        "op10_topk_search": op10_topk_search,
     }
 
 
