@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import ChatFormatter
 from .embedding_duplicates import EmbeddingDuplicates
+from .nbest_pieces import NBestPieces
 from .near_duplicates import NearDuplicates
 from .packing import BestFitPacker
 from .quality import QualityClassifier
@@ -23,6 +25,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ChatFormatter().format(table(spark, sf_dir, "conversations"))
+
+
+OP1_SQL = """
+WITH turns AS (
+  SELECT conv_id, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS segment, turn
+  FROM conversations
+), placed AS (
+  SELECT conv_id, segment, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, segment) AS pos,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM turns
+), prefixes AS (
+  SELECT conv_id, pos, n, string_agg(segment, '') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix FROM placed
+), whole AS (
+  SELECT min(conv_id) AS conv_id, n, prefix FROM prefixes WHERE pos = n GROUP BY n, prefix
+)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, prefix AS text
+FROM whole w
+WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.pos < p.n AND p.pos = w.n AND p.prefix = w.prefix)
+"""
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates().find(table(spark, sf_dir, "documents"))
 
@@ -33,6 +58,16 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NBestPieces(piece_bpe_path()).check(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return BestFitPacker(byte_bpe_path()).pack(table(spark, sf_dir, "documents"))
 
@@ -67,7 +102,9 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": op1_chat_format,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op3_sentencepiece_nbest": op3_sentencepiece_nbest,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_secret_scan": op5_secret_scan,
         "op6_quality_classifier": op6_quality_classifier,
@@ -79,4 +116,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": OP1_SQL}
