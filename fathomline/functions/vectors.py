@@ -19,25 +19,19 @@ def norm(x: Column) -> Column:
     return F.when(length == 0, F.lit(1.0)).otherwise(length)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used; a lambda's body would compute it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize(x: Column) -> Column:
     """Unit length; a zero vector stays."""
-    length = norm(x)
-    return F.transform(x, lambda v: v.cast("double") / length)
+    both = F.struct(x.alias("v"), norm(x).alias("n"))
+    return let(both, lambda s: F.transform(s["v"], lambda v: v.cast("double") / s["n"]))
 
 
 def truncate(x: Column, dim: int) -> Column:
     """The first ``dim`` components at unit length; asking for more than there are is an error."""
-    return F.when(F.size(x) >= dim, normalize(F.slice(x, 1, dim))).otherwise(
+    return F.when(F.size(x) >= dim, let(F.slice(x, 1, dim), normalize)).otherwise(
         F.raise_error(F.lit(f"cannot truncate to {dim} dimensions")).cast("array<double>")
     )
-
-
-def hash_embed(tokens: Column, fallback: Column, dim: int = 64) -> Column:
-    """Counts of tokens in hashed buckets at unit length; a text without tokens counts its first eight characters as one.
-
-    ``dim`` is a power of two up to 256, so that the last two hex digits of the MD5 decide the bucket.
-    """
-    own = F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.substring(fallback, 1, 8)))
-    buckets = F.transform(own, lambda t: (F.conv(F.substring(F.md5(t), 31, 2), 16, 10).cast("int") % dim))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
-    return normalize(counts)

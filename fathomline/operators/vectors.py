@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fathomline.functions.text import tokens
 from fathomline.functions.vectors import dot, normalize, truncate
 
 from .lexical import DECIMALS
@@ -66,6 +67,21 @@ def topk(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("qid", "id", "rank", "cos")
 
 
+def hash_embed(rows: DataFrame, dim: int = 64) -> DataFrame:
+    """``id, vec`` of ``id, text`` rows without a model: counts of tokens in hashed buckets, at unit length.
+
+    A text without tokens counts its first eight characters as one. ``dim`` is a
+    power of two up to 256, so that the last two hex digits of the MD5 decide
+    the bucket. Ids are taken to be unique.
+    """
+    own = tokens(F.col("text"))
+    words = rows.select("id", "text", own.alias("own")).select("id", F.explode(F.when(F.size("own") > 0, F.col("own")).otherwise(F.array(F.substring("text", 1, 8)))).alias("tok"))
+    bucket = (F.conv(F.substring(F.md5("tok"), 31, 2), 16, 10).cast("int") % dim).alias("bucket")
+    counts = words.select("id", bucket).groupBy("id", "bucket").agg(F.count("*").cast("double").alias("c"))
+    maps = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
+    return maps.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0)) / F.col("n")).alias("vec"))
+
+
 def _block_topk(store: DataFrame, qids: list, matrix: np.ndarray, k: int, qid_type: str) -> DataFrame:
     sent = store.sparkSession.sparkContext.broadcast((qids, matrix))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.functions import paths, text, vectors
+from fathomline.functions import paths, text
 from fathomline.operators import catalog, evaluate, hybrid, messages, sections, verify
 from fathomline.operators import vectors as store_ops
 from fathomline.operators.index import Index, corpus_stats, doc_freq, doc_lengths, idf_stats, postings, tfidf_norms
@@ -112,8 +112,8 @@ _BUCKET = "(('0x' || substr(md5(t), 31, 2))::INT % 64)"
 )
 def q_hash_embed(spark, sf):
     docs = table(spark, sf, "documents")
-    made = docs.select("doc_id", F.posexplode(vectors.hash_embed(text.tokens(F.col("text")), F.col("text"), 64)).alias("bucket", "w"))
-    return made.where("w > 0").select("doc_id", "bucket", six("w", "weight"))
+    made = store_ops.hash_embed(docs.select(F.col("doc_id").alias("id"), "text"), 64)
+    return made.select(F.col("id").alias("doc_id"), F.posexplode("vec").alias("bucket", "w")).where("w > 0").select("doc_id", "bucket", six("w", "weight"))
 
 
 @query()
