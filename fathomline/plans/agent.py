@@ -30,22 +30,30 @@ def search_rounds(index: Index, planned: DataFrame, config: SearchConfig | None
     """Up to three rounds of search: ``qid, rounds, coverage, n_hits, blocked``.
 
     A query is done once its top hit covers enough of it or nothing is found.
-    The others drop their course filter, then double their list. All unfinished
-    queries of a round are searched in one job.
+    The others first drop their course filter, if they have one, and then
+    double their list. Only the filter changes a ranking and lists are cut from
+    the longest one, so two batched searches serve all rounds of all queries.
     """
     config = config or SearchConfig()
-    state = planned.select("qid", "q", "course", F.lit(config.k).alias("k"))
-    done = None
-    for nth in range(1, MAX_ROUNDS + 1):
-        hits = search_lexical(index, state.select("qid", "q"), config, k=LARGEST_K, scope=state)
-        top = hits.groupBy("qid").agg(F.max(F.when(F.col("rank") == 0, F.round("coverage", 2))).alias("coverage"), F.count("*").alias("found"))
-        seen = state.join(top, "qid", "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).withColumn("n_hits", F.least(F.coalesce("found", F.lit(0)), F.col("k"))).drop("found")
-        over = (F.col("coverage") >= ENOUGH) | (F.col("n_hits") == 0) | F.lit(nth == MAX_ROUNDS)
-        ended = seen.where(over).select("qid", F.lit(nth).alias("rounds"), "coverage", F.col("n_hits").cast("long").alias("n_hits"), (F.col("n_hits") == 0).alias("blocked"))
-        done = ended if done is None else done.union(ended)
-        widened = F.when(F.col("course").isNotNull(), F.col("k")).otherwise(F.least(F.col("k") * 2, F.lit(LARGEST_K)))
-        state = seen.where(~over).select("qid", "q", F.lit(None).cast("string").alias("course"), widened.alias("k"))
-    return done
+    asked = planned.select("qid", "q")
+
+    def tops(hits: DataFrame, nth: int) -> DataFrame:
+        cov = F.max(F.when(F.col("rank") == 0, F.round("coverage", 2)))
+        return hits.groupBy("qid").agg(cov.alias(f"cov{nth}"), F.count("*").alias(f"found{nth}"))
+
+    bound = tops(search_lexical(index, asked, config, k=LARGEST_K, scope=planned.select("qid", "course")), 1)
+    free = tops(search_lexical(index, asked, config, k=LARGEST_K), 2)
+    rows = planned.select("qid", "course").join(bound, "qid", "left").join(free, "qid", "left").na.fill(0)
+    over = lambda n: (F.col(f"cov{n}") >= ENOUGH) | (F.col(f"found{n}") == 0)
+    filtered = F.col("course").isNotNull()
+    rounds = F.when(over(1), 1).when(filtered & over(2), 2).otherwise(MAX_ROUNDS)
+    last = F.col("rounds") > 1
+    k = F.lit(config.k)
+    size = F.when(~last | (filtered & (F.col("rounds") == 2)), k).when(filtered, F.least(k * 2, F.lit(LARGEST_K))).otherwise(F.least(F.least(k * 2, F.lit(LARGEST_K)) * 2, F.lit(LARGEST_K)))
+    found = F.when(last, F.col("found2")).otherwise(F.col("found1"))
+    return rows.withColumn("rounds", rounds).select(
+        "qid", "rounds", F.when(last, F.col("cov2")).otherwise(F.col("cov1")).alias("coverage"), F.least(found, size).cast("long").alias("n_hits"), (found == 0).alias("blocked")
+    )
 
 
 def teach_section(index: Index, queries: DataFrame, course: str, config: SearchConfig | None = None) -> DataFrame:
