@@ -26,11 +26,10 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     path = F.regexp_replace("path", "^([a-z]+):/+", "$1:/")
     plain = base.replace("://", ":/").replace("//", "/")
     rel = F.expr(f"substring(path, length('{plain}') + 1)")
-    return files.withColumn("path", path).select(rel.alias("rel"), "content").where(is_source_file(F.col("rel"))).select("rel", decode(F.col("content")).alias("text"))
+    return files.withColumn("path", path).select(rel.alias("rel"), "content").where(is_source_file(F.col("rel"))).select("rel", F.pandas_udf(_decode, "string")("content").alias("text"))
 
 
-@F.pandas_udf("string")
-def decode(content: pd.Series) -> pd.Series:
+def _decode(content: pd.Series) -> pd.Series:
     return content.map(lambda b: bytes(b).decode("utf-8", errors="ignore").replace("\r\n", "\n").replace("\r", "\n"))
 
 
