@@ -7,21 +7,24 @@ Plan
    ``width`` smallest hash values (the bottom-k sketch). Documents with equal
    sets form a class; only one representative per class goes on.
 2. *Star round.* Inverted lists of the first ``probe`` retained values, split by
-   size class, nominate one leader per list: each representative is compared
-   with the leader it shares most lists with. This collapses large groups of
+   size class, nominate their most central member as leader: each representative
+   is compared with the leader it shares most lists with. This collapses large groups of
    near copies with one comparison per member.
 3. *Exact round.* The remaining pairs are those whose ends lie in different
-   components. A value is common if its list reaches more than ``spread``
-   components. Two sets of the asked similarity share so many of their smallest
-   values that a document with few common values must meet its partner in a
-   list that isn't common; those lists are joined with themselves. Documents
-   made mostly of common values get a second turn among themselves with the
-   whole sketch, and those that are still left meet over their least common
-   values, of which two similar sketches always share one.
-4. Each candidate pair is estimated from the union sketch, and those that may
-   reach the threshold are verified on full sets.
-
-Nothing is capped: the routes only differ in which lists they join.
+   components. Lists within one component are done; short lists are joined with
+   themselves, and pairs must meet in as many of them as two sets of the asked
+   similarity do. A document whose retained values lie mostly in long lists may
+   miss its partner there; such documents meet a second time: small ones, whose
+   sketch is the whole set, over the least common values, of which similar sets
+   always share one; larger ones over combinations of retained values, which
+   unlike single values hardly agree among sets that only share a passage.
+   In every list only the members outside its main component are compared with
+   the others.
+4. Maps of 1024 bits, in which two sets differ by no more bits than they differ in
+   members, rule out most candidate pairs. The others are estimated from the union
+   sketch, and those that may reach the threshold are verified on full sets.
+
+Nothing is capped: long lists only take another route.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ from . import bytetext as B
 from .components import connected_components
 from .storage import Scratch
 
+#: Bits of the map of a set: the maps of two sets differ in no more bits than the sets differ in members.
+_BITS = 1024
 _SLOTS = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -89,15 +94,52 @@ def _sketcher(words: int, width: int):
                     f1[some] = np.add.reduceat(B.mix(u ^ _SLOTS[40]), at[:-1][some])
                     f2[some] = np.bitwise_xor.reduceat(B.mix(u ^ _SLOTS[41]), at[:-1][some])
                 rank = np.arange(len(values)) - np.repeat(at[:-1], n)
+                marks = np.zeros((len(n), _BITS), np.uint8)
+                marks[np.repeat(np.arange(len(n)), n), (B.mix(u + _SLOTS[42]) % np.uint64(_BITS)).astype(np.int64)] = 1
+                bits = np.packbits(marks, axis=1).view("<i8")
                 kept = np.concatenate([[0], np.cumsum(np.minimum(n, width))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), _lists(values[rank < width], kept)],
-                    names=["id", "n", "f1", "f2", "sketch"],
+                    [batch.column("id"), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), _lists(values[rank < width], kept), _lists(bits.ravel(), np.arange(len(n) + 1) * (_BITS // 64))],
+                    names=["id", "n", "f1", "f2", "sketch", "bits"],
                 )
 
     return run
 
 
+#: Larger sets that hold many common values meet over combinations: in each of _DEALS ways the sketch is dealt into _PARTS, and the _TAKEN smallest
+#: values of a part are one key. At a similarity of 0.75 a key agrees with probability 0.24, so that all fail less than once in a million pairs.
+_DEALS, _PARTS, _TAKEN = 4, 19, 5
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of combined values of each sketch."""
+    for batch in batches:
+        lists = batch.column("sketch")
+        n = np.diff(np.asarray(lists.offsets))
+        values = np.asarray(lists.flatten()).astype(np.int64)
+        u, owner = values.view(np.uint64), np.repeat(np.arange(len(n)), n)
+        rank_of = np.arange(len(values))  # ascending within a sketch
+        keys, owners = [], []
+        for deal in range(_DEALS):
+            part = (B.mix(u ^ _SLOTS[deal + 8]) >> np.uint64(11)) % np.uint64(_PARTS)
+            group = owner * _PARTS + part.astype(np.int64)
+            order = np.lexsort((rank_of, group))
+            g = group[order]
+            heads = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+            size = np.diff(np.append(heads, len(g)))
+            nth = np.arange(len(g)) - np.repeat(heads, size)
+            mixed = np.where(nth < _TAKEN, B.mix(u[order] ^ _SLOTS[20]) * _SLOTS[np.minimum(nth, _TAKEN) + 24], np.uint64(0))
+            if len(heads):
+                keys.append(B.mix(np.add.reduceat(mixed, heads) + g[heads].astype(np.uint64) % np.uint64(_PARTS) * _SLOTS[50] + np.uint64(deal)))
+                owners.append(g[heads] // _PARTS)
+        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        who = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        order = np.argsort(who, kind="stable")
+        ends = np.searchsorted(who[order], np.arange(len(n) + 1))
+        own = [batch.column(c) for c in ("cid", "n", "comp", "bits")]
+        yield pa.RecordBatch.from_arrays([*own, _lists(key[order].view(np.int64), ends)], names=["cid", "n", "comp", "bits", "keys"])
+
+
 def _full_sets(words: int, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -137,7 +179,7 @@ class NearDuplicates:
     id. An empty table gives no rows. Other columns are not read.
     """
 
-    def __init__(self, words: int = 5, numerator: int = 75, denominator: int = 100, width: int = 96, probe: int = 16, spread: int = 48):
+    def __init__(self, words: int = 5, numerator: int = 75, denominator: int = 100, width: int = 96, probe: int = 16, spread: int = 32):
         self.words, self.numerator, self.denominator = words, numerator, denominator
         self.width, self.probe, self.spread = width, probe, spread
         self.ratio = numerator / denominator
@@ -148,25 +190,29 @@ class NearDuplicates:
         return min(k, math.ceil(k * p + 5.2 * math.sqrt(k * p * (1 - p))))
 
     def _spared(self, width: int) -> Column:
-        """Of the first ``width`` retained values, how many a similar set may lack."""
+        """Of the first ``width`` retained values, how many a similar set's first ones may lack.
+
+        Exact where both sketches must be whole sets, else up to the slack.
+        """
         exact = F.col("n") - F.ceil(F.col("n") * self.ratio)
-        return F.when(F.col("n") <= width, exact).otherwise(F.lit(self._slack(width))).cast("long")
+        whole = F.col("n") * self.denominator <= width * self.numerator
+        return F.when(whole, exact).otherwise(F.lit(self._slack(width))).cast("long")
 
     def find(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         spark = docs.sparkSession
         scratch = Scratch(spark, "near-duplicates")
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        sketched = scratch.save(source.mapInArrow(_sketcher(self.words, self.width), "id long, n long, f1 long, f2 long, sketch array<long>"))
+        sketched = scratch.save(source.mapInArrow(_sketcher(self.words, self.width), "id long, n long, f1 long, f2 long, sketch array<long>, bits array<long>"))
         usable = sketched.where("id is not null and n > 0")
         classes = usable.groupBy("n", "f1", "f2").agg(F.min("id").alias("cid"))
         key = ["n", "f1", "f2"]
         base = scratch.save(
             sketched.select("id", *key).join(classes, key, "left").select("id", "n", F.when(F.col("n") > 0, F.col("cid")).otherwise(F.col("id")).alias("cid"))
         )
-        reps = scratch.save(usable.join(classes, key).where("id = cid").select("cid", "n", "sketch").dropDuplicates(["cid", "n"]))
+        reps = scratch.save(usable.join(classes, key).where("id = cid").select("cid", "n", "sketch", "bits").dropDuplicates(["cid", "n"]))
         scratch.drop(sketched)
 
-        stars = scratch.save(self._star_pairs(reps))
+        stars = scratch.save(self._star_pairs(reps, scratch))
         links = scratch.save(self._verify(stars, reps, source))
         first = scratch.save(connected_components(links, scratch))
         rest = scratch.save(self._rest_pairs(reps, first, scratch))
@@ -189,59 +235,105 @@ class NearDuplicates:
         return base.join(differ, "id", "left_semi").select(F.col("id").alias("a"), F.col("cid").alias("b"))
 
     def _close_sizes(self, x: str, y: str) -> Column:
-        return (F.least(x, y) * self.denominator) >= (F.greatest(x, y) * self.numerator)
+        return F.least(x, y) * self.denominator >= F.greatest(x, y) * self.numerator
 
-    def _star_pairs(self, reps: DataFrame) -> DataFrame:
-        """One pair per representative: with the leader of most of its lists."""
+    def _possible(self, x: str, y: str) -> Column:
+        """Exact bound on the members that only one set has; ``x`` and ``y`` are column prefixes."""
+        n, m = F.col(f"{x}n"), F.col(f"{y}n")
+        apart = sum(F.bit_count(F.get(f"{x}bits", F.lit(i)).bitwiseXOR(F.get(f"{y}bits", F.lit(i)))) for i in range(_BITS // 64))
+        # With J the similarity, the members that differ are at most (1 - J) / (1 + J) of both sizes together.
+        return apart * (self.denominator + self.numerator) <= (n + m) * (self.denominator - self.numerator)
+
+    def _star_pairs(self, reps: DataFrame, scratch: Scratch) -> DataFrame:
+        """At most one pair per representative: with the leader of most of its lists.
+
+        A list is led by its most central member, the one whose own lists are
+        longest: among near copies that's the text they were made from.
+        """
         step = math.log(1 / self.ratio)
-        lists = reps.select("cid", "n", F.floor(F.log("n") / step).alias("size"), F.explode(F.slice("sketch", 1, self.probe)).alias("v"))
+        lists = reps.select("cid", "n", F.explode(F.slice("sketch", 1, self.probe)).alias("v"))
+        long = lists.groupBy("v").agg(F.count("*").alias("long")).where("long > 1")
+        lists = scratch.save(lists.join(long, "v"))
+        central = lists.groupBy("cid", "n").agg(F.sum("long").alias("weight"))
+        lists = lists.join(central, ["cid", "n"]).select("v", "cid", "n", "weight", F.floor(F.log("n") / step).alias("size"))
         leaders = (
             lists.groupBy("v", "size")
-            .agg(F.min(F.struct("cid", "n")).alias("lead"))
-            .select("v", "size", F.col("lead.cid").alias("a"), F.col("lead.n").alias("an"))
+            .agg(F.max(F.struct("weight", (-F.col("cid")).alias("nc"), "n")).alias("lead"))
+            .select("v", "size", (-F.col("lead.nc")).alias("a"), F.col("lead.n").alias("lead_n"))
         )
         asked = lists.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") - 1)))
         return (
             asked.join(leaders, ["v", "size"])
-            .where((F.col("a") != F.col("cid")) & self._close_sizes("n", "an"))
+            .where((F.col("a") != F.col("cid")) & self._close_sizes("n", "lead_n"))
             .groupBy("cid", "a")
-            .agg(F.count("*").alias("shared"))
+            .agg(F.count("*").alias("shared"), F.min("n").alias("n"))
+            .where(F.col("shared") * 3 >= F.least(F.col("n"), F.lit(self.probe)))
             .groupBy("cid")
             .agg(F.max(F.struct("shared", (-F.col("a")).alias("na"))).alias("best"))
             .select((-F.col("best.na")).alias("a"), F.col("cid").alias("b"))
         )
 
     def _rest_pairs(self, reps: DataFrame, components: DataFrame, scratch: Scratch) -> DataFrame:
-        placed = reps.join(components, reps.cid == components.node, "left").select("cid", "n", "sketch", F.coalesce("component", "cid").alias("comp"))
-        narrow = max(8, self.width // 3)
-        found, pool = None, placed
-        for width in (narrow, self.width):
-            lists = pool.select("cid", "n", "comp", F.explode(F.slice("sketch", 1, width)).alias("v"))
-            reach = lists.select("v", "comp").distinct().groupBy("v").agg(F.count("*").alias("reach")).where("reach > 1")
-            lists = scratch.save(lists.join(reach, "v"))
-            pairs = self._pairs_within(lists.where(F.col("reach") <= self.spread))
-            found = pairs if found is None else found.union(pairs)
-            common = lists.where(F.col("reach") > self.spread)
-            dense = common.groupBy("cid", "n").agg(F.count("*").alias("common")).where(
-                F.least(F.col("n"), F.lit(width)) - F.col("common") <= self._spared(width)
-            )
-            pool = placed.join(dense.select("cid", "n"), ["cid", "n"], "left_semi")
-        order = Window.partitionBy("cid", "n").orderBy("reach", "v")
-        private = F.least(F.col("n"), F.lit(self.width)) - F.count("*").over(Window.partitionBy("cid", "n"))
-        least = (
-            lists.join(dense.select("cid", "n"), ["cid", "n"], "left_semi")
-            .withColumn("rank", F.row_number().over(order) + private)
-            .where(F.col("rank") <= self._spared(self.width) + 1)
-        )
-        return found.union(self._pairs_within(least)).distinct()
+        """Candidate pairs of different components, by the lists of the exact round."""
+        width = max(8, self.width // 3)
+        size = F.least(F.col("n"), F.lit(width))
+        placed = reps.join(components, reps.cid == components.node, "left").select("cid", "n", "bits", "sketch", F.coalesce("component", "cid").alias("comp"))
+        lists = placed.select("cid", "n", "comp", F.explode(F.slice("sketch", 1, width)).alias("v"))
+        lists = scratch.save(self._mixed(lists, ["v"]))
+        common = scratch.save(lists.where(F.col("long") > self.spread).groupBy("cid", "n").agg(F.count("*").alias("common")))
+        rare = lists.where(F.col("long") <= self.spread).join(common, ["cid", "n"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
+        # Two similar sets share all but the spared values, of which only the common ones aren't in these lists.
+        rare = rare.withColumn("share", size - self._spared(width))
+        found = self._pairs_within(rare)
+
+        dense = common.where(size - F.col("common") <= self._spared(width)).select("cid", "n")
+        pool = scratch.save(placed.join(dense, ["cid", "n"], "left_semi"))
+        # Whole sets: they must share one of the values that all but the spared ones leave, the least common first.
+        whole = self._mixed(pool.where(F.col("n") <= self.width).select("cid", "n", "bits", "comp", F.explode("sketch").alias("v")), ["v"])
+        order = Window.partitionBy("cid", "n").orderBy("long", "v")
+        private = F.col("n") - F.count("*").over(Window.partitionBy("cid", "n"))
+        least = whole.withColumn("rank", F.row_number().over(order) + private).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * self.ratio) + 1)
+        found = found.union(self._pairs_within(least.withColumns({"share": F.lit(1), "common": F.lit(0)})))
+        # Larger sets: the smallest values in parts of the sketch, taken together.
+        large = pool.where(F.col("n") * self.denominator > self.width * self.numerator)
+        keyed = large.select("cid", "n", "comp", "bits", "sketch").mapInArrow(_combine, "cid long, n long, comp long, bits array<long>, keys array<long>")
+        keyed = self._mixed(keyed.select("cid", "n", "comp", "bits", F.explode("keys").alias("v")), ["v"])
+        return found.union(self._pairs_within(keyed.withColumns({"share": F.lit(1), "common": F.lit(0)}))).distinct()
+
+    @staticmethod
+    def _mixed(lists: DataFrame, key: list[str]) -> DataFrame:
+        """The lists that reach more than one component, with their length and the component of most of their members."""
+        parts = lists.groupBy(*key, "comp").agg(F.count("*").alias("rows"))
+        about = parts.groupBy(*key).agg(F.count("*").alias("reach"), F.sum("rows").alias("long"), F.max_by("comp", F.struct("rows", "comp")).alias("main"))
+        return lists.join(about.where("reach > 1").drop("reach"), key)
 
     def _pairs_within(self, lists: DataFrame) -> DataFrame:
-        x = lists.select("v", F.col("cid").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-        y = lists.select("v", F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-        return x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & self._close_sizes("an", "bn")).select("a", "b").distinct()
+        """Pairs of different components that meet in as many lists as similar sets must.
+
+        The members outside a list's main component are compared with all.
+        """
+        own = [c for c in ("cid", "n", "comp", "bits", "share", "common") if c in lists.columns]
+        x = lists.where("comp <> main").select("v", *[F.col(c).alias(f"x_{c}") for c in own])
+        y = lists.select("v", "main", *[F.col(c).alias(f"y_{c}") for c in own])
+        once = (F.col("y_comp") == F.col("main")) | (F.col("x_cid") < F.col("y_cid"))
+        may = once & (F.col("x_comp") != F.col("y_comp")) & self._close_sizes("x_n", "y_n")
+        if "bits" in own:
+            may = may & self._possible("x_", "y_")
+        needed = F.greatest("x_share", "y_share") - F.least("x_common", "y_common")
+        return (
+            x.join(y, "v")
+            .where(may)
+            .groupBy(F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b"))
+            .agg(F.count("*").alias("met"), F.min(needed).alias("needed"))
+            .where("met >= needed")
+            .select("a", "b")
+        )
 
     def _verify(self, pairs: DataFrame, reps: DataFrame, source: DataFrame) -> DataFrame:
         """The pairs that reach the threshold on full sets."""
+        # The maps first: most candidates end there, and their sketches are never moved.
+        maps = lambda end, name: reps.select(F.col("cid").alias(end), F.col("n").alias(f"{name}n"), F.col("bits").alias(f"{name}bits"))
+        pairs = pairs.join(maps("a", "x_"), "a").join(maps("b", "y_"), "b").where(self._possible("x_", "y_")).select("a", "b").distinct()
         x = reps.select(F.col("cid").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("xs"))
         y = reps.select(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("ys"))
         union = F.slice(F.array_sort(F.array_union("xs", "ys")), 1, self.width)
