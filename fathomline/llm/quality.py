@@ -126,9 +126,9 @@ class QualityClassifier:
         sample = labelled_sample(labels, "quality", self.bound, self.parts, self.held_out)
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         known = source.join(F.broadcast(sample), "id")  # the sample is bounded
-        rows = known.select(feature_column(layout_features, F.col("text")).alias("x"), "y").collect()
-        x = np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES))
-        y = np.array([r.y for r in rows], int)
+        rows = known.select(feature_column(layout_features, F.col("text")).alias("x"), "y").toArrow()
+        x = np.asarray(rows.column("x").combine_chunks().flatten(), float).reshape(rows.num_rows, len(FEATURES))
+        y = np.asarray(rows.column("y"), int)
         x, y = x[order := np.lexsort((*x.T, y))], y[order]
         good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         k = len(FEATURES)
