@@ -58,7 +58,7 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     if name not in _powers or len(_powers[name]) < n:
-        steps = np.full(max(n, PASS_BYTES + (1 << 16)), base, np.uint64)
+        steps = np.full(1 << max(12, (n - 1).bit_length()), base, np.uint64)
         steps[0] = 1
         _powers[name] = np.multiply.accumulate(steps)
     return _powers[name][:n]
