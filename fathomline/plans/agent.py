@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import collapse, contains_folded, tokens
+from fathomline.operators.catalog import met
 from fathomline.operators.index import Index
 from fathomline.operators.lexical import search_lexical
 from fathomline.schema import SearchConfig
@@ -20,9 +21,8 @@ TEACH_LEAST = 0.7
 def plan_courses(queries: DataFrame, courses: DataFrame) -> DataFrame:
     """``qid, q, course``: the first course whose name contains a word of the query of three characters or more."""
     words = queries.select("qid", F.explode(F.filter(F.split(F.lower("q"), r"(?U)\s+"), lambda w: F.length(w) > 2)).alias("word"))
-    # Names of courses are a short list; a substring test has no key to join on.
-    met = words.join(F.broadcast(courses.select("course", "place").limit(100_000)), F.contains(F.lower("course"), F.col("word")))
-    first = met.groupBy("qid").agg(F.min_by("course", "place").alias("course"))
+    found = met(words, courses.select("course", "place"), F.contains(F.lower("course"), F.col("word")), F.struct("place", "course"))
+    first = found.select("qid", F.col("best.course").alias("course"))
     return queries.select("qid", "q").join(first, "qid", "left")
 
 
