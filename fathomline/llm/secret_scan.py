@@ -1,8 +1,10 @@
 """Secrets in texts: a scan for candidates and a random forest against false positives.
 
-Every run of at least ``least`` key characters that holds digits or marks
-among its letters is a candidate. A forest, trained from labelled findings,
-judges it by its length, its transitions between character classes, how much
+Candidates are the runs of at least ``least`` key characters, split at the ``=``
+behind a name and once more at path parts; shorter runs of a known format; and
+whatever a secret word announces by ``=`` or ``:``, from ``short`` characters. A
+forest, trained from the findings of the same scan over labelled examples,
+judges each by its length, its transitions between character classes, how much
 of it dictionary words cover, the path it was found under and the words around
 it. Findings carry their spans, so texts can be redacted.
 """
@@ -14,6 +16,7 @@ import random
 import re
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,7 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import bytetext as B
 from .storage import Scratch
@@ -52,6 +56,7 @@ DICTIONARY = (
 FEATURES = (
     "length", "transitions", "entropy", "digits", "uppers", "lowers", "marks", "hex", "longest_letters", "distinct", "dictionary",
     "example_path", "secret_word_near", "secret_word_next", "other_word_near", "assigned", "quoted", "known_format", "uuid_shape", "url_like",
+    "equals", "consonants",
 )
 
 _FORMAT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
@@ -59,6 +64,55 @@ _UUID = re.compile(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _WORD = re.compile(r"[A-Za-z_-]+[0-9]*")
 _SECRET, _OTHER, _EXAMPLE, _DICTIONARY = (frozenset(x.split()) for x in (SECRET_WORDS, OTHER_WORDS, EXAMPLE_PATHS, DICTIONARY))
 _LONGEST = max(map(len, _DICTIONARY))
+#: The characters of the shortest known format.
+_SHORTEST_FORMAT = 15
+_KEYS = "A-Za-z0-9_+/=.~-"
+#: A value behind ``=`` or ``:``, in quotes or up to a blank or a separator, and the name that ends before the sign.
+_VALUE = re.compile(r"""[:=]>?[ \t]{0,4}(?:(?i:bearer|basic)[ \t]+)?(?:"([^"\n]{1,200})"|'([^'\n]{1,200})'|`([^`\n]{1,200})`|([^\s"'`<>,;&(){}\[\]|=:][^\s"'`<>,;&(){}\[\]|]*))""")
+_NAME = re.compile(r"""([A-Za-z][A-Za-z0-9_.-]*)["'`]?[ \t]{0,4}:?$""")
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_ANNOUNCING = re.compile("token|secret|passw|pwd|api_?-?key|access_?-?key|private_?-?key|credential|authorization", re.I)
+
+
+def _announces(name: str) -> bool:
+    return bool(_ANNOUNCING.search(name)) or any(p.lower() in _SECRET for p in _PARTS.findall(name))
+
+
+def spans(text: str, least: int, short: int) -> list[tuple[int, int]]:
+    """The candidates' spans in order; one may lie inside another, as a part of a path does."""
+    found = set()
+
+    def take(a: int, b: int) -> None:
+        while b > a and text[b - 1] in ".-_":
+            b -= 1
+        if (b - a >= least or b - a >= _SHORTEST_FORMAT and _FORMAT.search(text, a, b)) and any(c.isalnum() for c in text[a:b]):
+            found.add((a, b))
+
+    for m in _runs(min(least, _SHORTEST_FORMAT)).finditer(text):
+        a, b = m.span()
+        at = text.find("=", a, b)
+        ends = [(a, b)]
+        if at >= 0 and (rest := text[at:b].lstrip("=")):
+            ends = [(a, at), (b - len(rest), b)]
+        for x, y in ends:
+            take(x, y)
+            if "/" in text[x:y]:
+                for part in re.compile("[^/]+").finditer(text, x, y):
+                    take(*part.span())
+    for m in _VALUE.finditer(text):
+        name = _NAME.search(text, max(0, m.start() - 64), m.start())
+        if name and _announces(name[1]):
+            a, b = m.span(m.lastindex)
+            while b > a and m.lastindex == 4 and text[b - 1] in ".-_?":
+                b -= 1
+            if b - a >= short and any(c.isalnum() for c in text[a:b]):
+                found.add((a, b))
+    return sorted(found)
+
+
+@cache
+def _runs(least: int) -> re.Pattern:
+    return re.compile(f"(?<![{_KEYS}])[{_KEYS}]{{{least},}}")
 
 
 def _covered(candidate: str) -> float:
@@ -104,12 +158,12 @@ def measure(candidate: str, before: str, after: str, path: str) -> list[float]:
         float(bool(_FORMAT.search(candidate))),
         float(bool(_UUID.match(candidate))),
         float("://" in before[-12:] or "/" in candidate[:1] or "www." in candidate or ".com" in candidate or "@" in after[:1] + before[-1:]),
+        float(before.rstrip("\"'`")[-1:] == "="),
+        max((len(x) for x in re.findall("[b-df-hj-np-tv-xz]+", candidate.lower())), default=0) / n,
     ]
 
 
-def _scanner(least: int, around: int):
-    run_of_keys = re.compile(r"(?<![A-Za-z0-9_+/=.~-])[A-Za-z0-9_+/=.~-]{%d,}" % least)
-
+def _scanner(least: int, short: int, around: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in B.passes(whole, "text"):
@@ -117,14 +171,9 @@ def _scanner(least: int, around: int):
                 ids, prints = batch.column("doc_id").to_pylist(), batch.column("print").to_pylist()
                 paths, texts = batch.column("path").to_pylist(), batch.column("text").to_pylist()
                 for doc_id, mark, path, text in zip(ids, prints, paths, texts):
-                    for m in run_of_keys.finditer(text or ""):
-                        a, b = m.span()
-                        while b > a and text[b - 1] in ".-_":
-                            b -= 1
-                        word = text[a:b]
-                        if b - a < least or word.isalpha() or not any(c.isalnum() for c in word):
-                            continue
-                        before, after = text[max(0, a - around) : a], text[b : b + 16]
+                    text = text or ""
+                    for a, b in spans(text, least, short):
+                        word, before, after = text[a:b], text[max(0, a - around) : a], text[b : b + 16]
                         known = _FORMAT.search(word)
                         rows.append((doc_id, mark, a, b, known.lastgroup if known else "generic", word, measure(word, before, after, path or "")))
                 columns = list(zip(*rows)) or [[]] * 7
@@ -155,12 +204,18 @@ def example_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str,
             ])()
             name = r.choice(["token", "token", "secret", "password", "api_key", "api-key", "ACCESS_KEY", "client_secret", "auth_token", "Authorization: Bearer", "key"])
             join = r.choice([' = "', "=", ": ", ' = "', "='", ' := "']) if "Bearer" not in name else " "
+            if i % 3 == 1:  # passwords: short, of letters only, with marks
+                body = r.choice([
+                    lambda: of(lower, r.randint(8, 24)), lambda: of(lower + upper, r.randint(8, 24)), lambda: of(lower + digits, r.randint(6, 15)), lambda: of(lower + upper + digits + "!@#$%*", r.randint(6, 16)),
+                    lambda: "".join(r.sample(syllables, 3)) + of(digits, r.randint(2, 4)), lambda: "xoxb-" + of(lower + digits, r.randint(10, 12)),
+                ])()
+                name, join = r.choice(["password", "passwd", "pwd", "db_password", "DB_PASSWORD", "secret", "token", "api_key"]), r.choice([' = "', "=", "=", "=", ": ", "='"])
             shout = r.random() < 0.25
             before = lead + (name.upper() if shout else name) + join
             body = body.upper() if shout and re.fullmatch("[0-9a-f]+", body) else body
             found.append((body, before, ('"' if '"' in join else "'" if "'" in join else "") + tail, path, 1))
             continue
-        kind = r.randrange(10)
+        kind = r.randrange(13)
         after = tail
         if kind == 0:
             body, before = of(hexa, 40), lead + r.choice(["commit ", "revision ", "commit: "])
@@ -182,6 +237,12 @@ def example_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str,
         elif kind == 8:
             body, before, path = of(hexa, 40), lead + 'token = "', r.choice(["tests/fixtures", "docs/examples", "sample/demo"])
             after = '"' + tail
+        elif kind == 10:  # announced, but a word of the language or a name
+            body, before = r.choice([lambda: r.choice(words), lambda: r.choice(["true", "false", "null", "none", "required", "optional", "string", "changeme"]), lambda: "_".join(r.sample(words, 2)), lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 4)))])(), lead + r.choice(["token: ", "password: ", "key: ", "key = ", "secret: ", "auth: "])
+        elif kind == 11:  # a long word
+            body, before = "".join(r.choice(syllables) for _ in range(r.randint(7, 10))), lead
+        elif kind == 12:  # other assignments
+            body, before = r.choice([lambda: of(hexa, 40), lambda: "".join(r.choice(words) for _ in range(4)), lambda: "".join(r.sample(words, 2)) + of(digits, 12)])(), lead + r.choice(["commit=", "etag=", "name=", "file=", "id="])
         else:
             body, before = ".".join(of(digits, r.randint(1, 3)) for _ in range(6)) + r.choice(["-alpha." + of(digits, 8), ".dev" + of(digits, 6), "-" + of(digits, 6)]), lead + r.choice(["version ", "", "build "])
         found.append((body, before, after, path, 0))
@@ -204,21 +265,30 @@ class SecretScanner:
     keeps all other columns, whatever their names.
     """
 
-    def __init__(self, least: int = 16, around: int = 80, trees: int = 40, depth: int = 8, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source"):
-        self.least, self.around, self.trees, self.depth, self.threshold = least, around, trees, depth, threshold
+    def __init__(self, least: int = 16, around: int = 80, trees: int = 40, depth: int = 8, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", short: int = 4):
+        self.least, self.short, self.around, self.trees, self.depth, self.threshold = least, short, around, trees, depth, threshold
         self.id_col, self.text_col, self.path_col = id_col, text_col, path_col
 
     def fit(self, spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | None = None) -> RandomForestClassificationModel:
         told = findings if findings is not None else example_findings()
-        rows = pa.table({"x": pa.array([measure(c, b, a, p) for c, b, a, p, _ in told]), "label": pa.array([float(y) for *_, y in told])})
+        seen = [row for finding in told for row in self._seen(*finding)]
+        rows = pa.table({"x": pa.array([x for x, _ in seen]), "label": pa.array([y for _, y in seen])})
         known = spark.createDataFrame(rows).select(array_to_vector("x").alias("features"), "label")
         return RandomForestClassifier(numTrees=self.trees, maxDepth=self.depth, seed=3).fit(known)
 
+    def _seen(self, candidate: str, before: str, after: str, path: str, is_secret: int) -> list[tuple[list[float], float]]:
+        """Features and labels of what the scan finds in an example's whole text; only spans that meet the candidate share its label."""
+        text, start, end = before + candidate + after, len(before), len(before) + len(candidate)
+        found = spans(text, self.least, self.short)
+        rows = [(measure(text[a:b], text[max(0, a - self.around) : a], text[b : b + 16], path), float(bool(is_secret) and a < end and b > start)) for a, b in found]
+        # A candidate that no scan meets keeps its label.
+        return rows if any(a < end and b > start for a, b in found) else [*rows, (measure(candidate, before, after, path), float(is_secret))]
+
     def _candidates(self, docs: DataFrame) -> DataFrame:
         path = F.col(self.path_col).cast("string") if self.path_col and self.path_col in docs.columns else F.lit("")
         source = docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.xxhash64(self.text_col).alias("print"), path.alias("path"), F.col(self.text_col).cast("string").alias("text"))
         schema = "doc_id long, print long, start long, end long, kind string, candidate string, x array<double>"
-        return source.mapInArrow(_scanner(self.least, self.around), schema)
+        return source.mapInArrow(_scanner(self.least, self.short, self.around), schema)
 
     def _judged(self, docs: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
         judged = model.transform(self._candidates(docs).withColumn("features", array_to_vector("x")))
@@ -231,9 +301,14 @@ class SecretScanner:
     def redact(self, docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
         spark = docs.sparkSession
         model = model or self.fit(spark)
-        found = self._judged(docs, model).where("is_secret").select("doc_id", "print", F.struct("start", "end", "kind").alias("span"))
-        spans = found.groupBy(F.col("doc_id").alias("f_id"), F.col("print").alias("f_print")).agg(F.sort_array(F.collect_set("span")).alias("f_spans"))
-        spans = Scratch(spark, "secrets").save(spans)
+        found = self._judged(docs, model).where("is_secret").select(F.col("doc_id").alias("f_id"), F.col("print").alias("f_print"), "start", "end", "kind").distinct()
+        # Spans that overlap are replaced as one: a new one begins where no earlier span reaches.
+        own = Window.partitionBy("f_id", "f_print").orderBy("start", "end", "kind")
+        apart = F.coalesce(F.col("start") >= F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+        found = found.withColumn("apart", apart.cast("int")).withColumn("nth", F.sum("apart").over(own))
+        whole = found.groupBy("f_id", "f_print", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
+        hidden = whole.groupBy("f_id", "f_print").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("f_spans"))
+        hidden = Scratch(spark, "secrets").save(hidden)
         text, doc_id = F.col(f"d.`{self.text_col}`"), F.col(f"d.`{self.id_col}`").cast("long")
         # Kept text between the spans, each span replaced by its kind.
         ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("f_spans", lambda s: s["end"]))
@@ -241,7 +316,7 @@ class SecretScanner:
             F.substring(text, F.get(ends, i).cast("int") + 1, (F.get("f_spans", i)["start"] - F.get(ends, i)).cast("int")), F.lit("[REDACTED:"), F.get("f_spans", i)["kind"], F.lit("]")))
         tail = F.substring(text, F.element_at(ends, -1).cast("int") + 1, F.length(text))
         clean = F.when(F.col("f_spans").isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail))
-        joined = docs.alias("d").join(spans.alias("f"), doc_id.eqNullSafe(F.col("f.f_id")) & (F.xxhash64(text) == F.col("f.f_print")), "left")
+        joined = docs.alias("d").join(hidden.alias("f"), doc_id.eqNullSafe(F.col("f.f_id")) & (F.xxhash64(text) == F.col("f.f_print")), "left")
         own = [F.col(f"d.`{c}`") for c in docs.columns]
         out = joined.select(*[clean.alias(c) if c == self.text_col else o for c, o in zip(docs.columns, own)])
         if "n_chars" in docs.columns:
