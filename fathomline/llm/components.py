@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from .storage import Scratch
 
 
-def connected_components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Component of every node that occurs in ``links(a, b)``: columns ``node, component``.
 
     Alternates large-star and small-star steps: each moves every node's
     neighbours to the smallest node it sees. Minima are aggregated before they
     are joined back, so a node with very many neighbours is never gathered in a
-    task. Each round is written to the shared folder. A component's name is its
-    smallest node. Null ends and self-links are ignored; no links give no rows.
+    task. Each round is written to the shared folder; rounds end when one
+    changes nothing, after a number that grows with the logarithm of the longest
+    chain. A component's name is its smallest node. Null ends and self-links are
+    ignored; no links give no rows.
     """
     edges = scratch.save(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    mark = _mark(edges)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
+    before, mark = None, _mark(edges)
+    while mark[0] and mark != before:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -35,10 +35,6 @@ def connected_components(links: DataFrame, scratch: Scratch, rounds: int = 60) -
         fresh = scratch.save(small.select("e.u", "e.v").where("u <> v").distinct())
         scratch.drop(edges)
         edges, before, mark = fresh, mark, _mark(fresh)
-        if mark == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
@@ -46,3 +42,20 @@ def connected_components(links: DataFrame, scratch: Scratch, rounds: int = 60) -
 def _mark(edges: DataFrame) -> tuple:
     h = F.xxhash64("u", "v")
     return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+
+
+def with_component(rows: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows(id, class, least, ...)`` with ``component``, the smallest id that the row's class reaches; null for a null id.
+
+    ``links(a, b)`` join classes, whose keys are unique whatever the ids;
+    ``least`` is the smallest id in a class. Classes of rows that share an id
+    are joined too. The result reads the tables written here.
+    """
+    known = rows.where("id is not null")
+    apart = known.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
+    versions = known.select("id", F.col("class").alias("b")).join(apart.select("id", "a"), "id").select("a", "b")
+    nodes = scratch.save(connected_components(links.select("a", "b").union(versions), scratch))
+    named = scratch.save(known.select("class", "least").distinct().join(nodes, F.col("class") == F.col("node")).groupBy("component").agg(F.min("least").alias("smallest")))
+    placed = scratch.save(nodes.join(named, "component").select("node", "smallest"))
+    found = rows.join(placed, F.col("class") == F.col("node"), "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("smallest", "least")))
+    return found.drop("node", "smallest")

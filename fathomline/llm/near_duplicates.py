@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bytetext as B
-from .components import connected_components
+from .components import connected_components, with_component
 from .storage import Scratch
 
 #: Bits of the map of a set: the maps of two sets differ in no more bits than the sets differ in members.
@@ -88,18 +88,14 @@ def _sketcher(words: int, width: int):
                 values, at = shingle_sets(batch.column("text"), words)
                 n = np.diff(at)
                 u = values.view(np.uint64)
-                some = n > 0
-                f1, f2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-                if some.any():
-                    f1[some] = np.add.reduceat(B.mix(u ^ _SLOTS[40]), at[:-1][some])
-                    f2[some] = np.bitwise_xor.reduceat(B.mix(u ^ _SLOTS[41]), at[:-1][some])
+                f1, f2 = _fingerprints(values, at)
                 rank = np.arange(len(values)) - np.repeat(at[:-1], n)
                 marks = np.zeros((len(n), _BITS), np.uint8)
                 marks[np.repeat(np.arange(len(n)), n), (B.mix(u + _SLOTS[42]) % np.uint64(_BITS)).astype(np.int64)] = 1
                 bits = np.packbits(marks, axis=1).view("<i8")
                 kept = np.concatenate([[0], np.cumsum(np.minimum(n, width))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), _lists(values[rank < width], kept), _lists(bits.ravel(), np.arange(len(n) + 1) * (_BITS // 64))],
+                    [batch.column("id"), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), _lists(values[rank < width], kept), _lists(bits.ravel(), np.arange(len(n) + 1) * (_BITS // 64))],
                     names=["id", "n", "f1", "f2", "sketch", "bits"],
                 )
 
@@ -107,8 +103,9 @@ def _sketcher(words: int, width: int):
 
 
 #: Larger sets that hold many common values meet over combinations: in each of _DEALS ways the sketch is dealt into _PARTS, and the _TAKEN smallest
-#: values of a part are one key. At a similarity of 0.75 a key agrees with probability 0.42, so that all fail about twice in a million pairs.
-_DEALS, _PARTS, _TAKEN = 1, 24, 3
+#: values of a part are one key. At a similarity of 0.75 a key of two sets of one size agrees with probability 0.42; where one set extends the other it is
+#: 0.32, as the larger set's sketch may end inside a part. All 48 keys fail about once in a hundred million such pairs.
+_DEALS, _PARTS, _TAKEN = 2, 24, 3
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +137,26 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*own, _lists(key[order].view(np.int64), ends)], names=["cid", "n", "comp", "bits", "keys"])
 
 
+def _fingerprints(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each whole set; 0 for an empty one."""
+    u, some = values.view(np.uint64), np.diff(at) > 0
+    f1, f2 = np.zeros(len(some), np.uint64), np.zeros(len(some), np.uint64)
+    if some.any():
+        f1[some] = np.add.reduceat(B.mix(u ^ _SLOTS[40]), at[:-1][some])
+        f2[some] = np.bitwise_xor.reduceat(B.mix(u ^ _SLOTS[41]), at[:-1][some])
+    return f1.view(np.int64), f2.view(np.int64)
+
+
 def _full_sets(words: int, keep: tuple[str, ...]):
+    """The sets of the rows whose text has the fingerprint asked for; other versions of the same id have another."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in B.passes(whole, "text"):
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k) for k in keep), _lists(*shingle_sets(batch.column("text"), words))], names=[*keep, "items"]
-                )
+                values, at = shingle_sets(batch.column("text"), words)
+                f1, f2 = _fingerprints(values, at)
+                meant = pa.array((f1 == np.asarray(batch.column("f1"))) & (f2 == np.asarray(batch.column("f2"))))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(meant) for k in keep), _lists(values, at).filter(meant)], names=[*keep, "items"])
 
     return run
 
@@ -174,9 +184,13 @@ class NearDuplicates:
 
     Defined cases: a null or empty text, or one of white space only, has an
     empty set and links with nothing. A null id gets a null component and is
-    kept. Rows that repeat an id are versions of one document: each is returned
-    and they share a component. Equal sets are linked, ties go to the smallest
-    id. An empty table gives no rows. Other columns are not read.
+    kept. Rows that repeat an id are versions of one document: each is returned,
+    each text's links count, and they share a component. Equal sets are linked,
+    ties go to the smallest id. An empty table gives no rows. Other columns are
+    not read.
+
+    A class of equal sets goes by the number of one of its rows (``cid``), not
+    by an id, which several texts may share.
     """
 
     def __init__(self, words: int = 5, numerator: int = 75, denominator: int = 100, width: int = 96, probe: int = 16, spread: int = 32):
@@ -202,37 +216,29 @@ class NearDuplicates:
         spark = docs.sparkSession
         scratch = Scratch(spark, "near-duplicates")
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        sketched = scratch.save(source.mapInArrow(_sketcher(self.words, self.width), "id long, n long, f1 long, f2 long, sketch array<long>, bits array<long>"))
+        schema = "id long, n long, f1 long, f2 long, sketch array<long>, bits array<long>"
+        sketched = scratch.save(source.mapInArrow(_sketcher(self.words, self.width), schema).withColumn("row", F.monotonically_increasing_id()))
         usable = sketched.where("id is not null and n > 0")
-        classes = usable.groupBy("n", "f1", "f2").agg(F.min("id").alias("cid"))
         key = ["n", "f1", "f2"]
+        # Written first, so that the joins below have plain shuffles on both sides, of which Spark can split a class of very many copies.
+        classes = scratch.save(usable.groupBy(*key).agg(F.min("row").alias("cid"), F.min("id").alias("least")))
+        own = F.col("n") > 0
         base = scratch.save(
-            sketched.select("id", *key).join(classes, key, "left").select("id", "n", F.when(F.col("n") > 0, F.col("cid")).otherwise(F.col("id")).alias("cid"))
+            sketched.select("id", "row", *key).join(classes, key, "left").select("id", "n", F.when(own, F.col("cid")).otherwise(F.col("row")).alias("class"), F.when(own, F.col("least")).otherwise(F.col("id")).alias("least"))
         )
-        reps = scratch.save(usable.join(classes, key).where("id = cid").select("cid", "n", "sketch", "bits").dropDuplicates(["cid", "n"]))
-        scratch.drop(sketched)
+        reps = scratch.save(usable.join(classes.select("cid"), F.col("row") == F.col("cid")).select("cid", "id", "n", "f1", "f2", "sketch", "bits"))
+        scratch.drop(sketched, classes)
 
         stars = scratch.save(self._star_pairs(reps, scratch))
         links = scratch.save(self._verify(stars, reps, source))
         first = scratch.save(connected_components(links, scratch))
         rest = scratch.save(self._rest_pairs(reps, first, scratch))
         more = scratch.save(self._verify(rest, reps, source))
-        nodes = connected_components(links.union(more).union(self._versions(base)), scratch)
-        return (
-            base.join(nodes, base.cid == nodes.node, "left")
-            .select(
-                F.col("id").alias("doc_id"),
-                F.col("n").alias("n_shingles"),
-                F.when(F.col("id").isNotNull(), F.coalesce("component", "cid")).alias("component_id"),
-            )
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-        )
-
-    @staticmethod
-    def _versions(base: DataFrame) -> DataFrame:
-        """Links from an id to the classes of all its rows, where these differ."""
-        differ = base.where("id is not null").groupBy("id").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y")
-        return base.join(differ, "id", "left_semi").select(F.col("id").alias("a"), F.col("cid").alias("b"))
+        scratch.keep(base, links, more)
+        found = scratch.save(with_component(base, links.union(more), scratch))
+        scratch.keep(found)
+        kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+        return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
     def _close_sizes(self, x: str, y: str) -> Column:
         return F.least(x, y) * self.denominator >= F.greatest(x, y) * self.numerator
@@ -343,9 +349,10 @@ class NearDuplicates:
         )
         sure = seen.where("whole").where(F.col("meet") * self.denominator >= F.col("all") * self.numerator).select("a", "b")
         likely = seen.where("not whole").where(F.col("both") >= F.col("of") - self._slack(self.width)).select("a", "b").distinct()
-        left = source.join(likely.withColumnRenamed("b", "id"), "id").select("a", F.col("id").alias("b"), "text")
+        text_of = lambda end: reps.select(F.col("cid").alias(end), "id", "f1", "f2")
+        left = source.join(likely.join(text_of("b"), "b"), "id").select("a", "b", "f1", "f2", "text")
         left = left.mapInArrow(_full_sets(self.words, ("a", "b")), "a long, b long, items array<long>").withColumnRenamed("items", "ys")
-        right = source.join(likely.select(F.col("a").alias("id")).distinct(), "id").select(F.col("id").alias("a"), "text")
+        right = source.join(likely.select("a").distinct().join(text_of("a"), "a"), "id").select("a", "f1", "f2", "text")
         right = right.mapInArrow(_full_sets(self.words, ("a",)), "a long, items array<long>").withColumnRenamed("items", "xs")
         checked = left.join(right, "a").select("a", "b", "xs", "ys").mapInArrow(_confirm(self.numerator, self.denominator), "a long, b long")
         return sure.union(checked)

@@ -19,9 +19,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import bytetext as B
 from .labelled import fold, labelled_sample
+from .storage import Scratch
 
 FEATURES = (
     "log_bytes", "space", "upper", "digit", "stop_marks", "shout_marks", "bars", "symbols", "other_marks", "non_ascii",
@@ -122,26 +124,24 @@ class QualityClassifier:
         self.bound, self.pairs, self.parts, self.held_out, self.accept, self.ridge = bound, pairs, parts, held_out, accept, ridge
 
     def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-        spark = docs.sparkSession
+        scratch = Scratch(docs.sparkSession, "quality")
         sample = labelled_sample(labels, "quality", self.bound, self.parts, self.held_out)
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         known = source.join(F.broadcast(sample), "id")  # the sample is bounded
-        rows = known.select(feature_column(layout_features, F.col("text")).alias("x"), "y").toArrow()
-        x = np.asarray(rows.column("x").combine_chunks().flatten(), float).reshape(rows.num_rows, len(FEATURES))
-        y = np.asarray(rows.column("y"), int)
-        x, y = x[order := np.lexsort((*x.T, y))], y[order]
-        good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+        known = scratch.save(known.select("id", feature_column(layout_features, F.col("text")).alias("x"), "y"))
+        rows = known.select("x", "y").toArrow()  # at most the bound: numbers only
         k = len(FEATURES)
-        if not len(good) or not len(bad):
+        x = np.asarray(rows.column("x").combine_chunks().flatten(), float).reshape(rows.num_rows, k)
+        y = np.asarray(rows.column("y"), int)
+        n_good, n_bad = int((y == 1).sum()), int((y == 0).sum())
+        if not n_good or not n_bad:
+            scratch.keep()
             return QualityModel((0.0,) * k, (0.0,) * k, (1.0,) * k, 0.0, 0.0, 1.0)
         center, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
         z = (x - center) / scale
-        i = np.arange(min(self.pairs, len(good) * len(bad)))
-        winners, losers = good[(i // len(bad) + i * 7919) % len(good)], bad[i % len(bad)]
-        sign = np.where(i % 2, 1.0, -1.0)  # half of the pairs are told the other way round
-        told = pa.table({"x": pa.array(list((z[winners] - z[losers]) * sign[:, None])), "label": pa.array((sign > 0).astype(float))})
-        told = spark.createDataFrame(told).select(array_to_vector("x").alias("features"), "label")
-        fitted = LogisticRegression(fitIntercept=False, standardization=False, regParam=self.ridge, maxIter=50).fit(told)
+        told = scratch.save(self._pairs(known, scale, n_good, n_bad))
+        fitted = LogisticRegression(fitIntercept=False, standardization=False, regParam=self.ridge, maxIter=50).fit(told.select(array_to_vector("x").alias("features"), "label"))
+        scratch.keep()
         w = fitted.coefficients.toArray()
         s = z @ w
         share = _best_share(s, y)
@@ -149,6 +149,17 @@ class QualityClassifier:
         slope = _slope(s - cut, y)
         return QualityModel(tuple(w), tuple(center), tuple(scale), cut, share, slope)
 
+    def _pairs(self, known: DataFrame, scale: np.ndarray, n_good: int, n_bad: int) -> DataFrame:
+        """Preference pairs ``x, label``: scaled differences of a good row's features and a bad one's, half of them told the other way round."""
+        rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "x")) - 1  # of a bounded sample
+        ranked = known.select("y", "x", rank.cast("long").alias("rank"))
+        side = lambda y, name: ranked.where(F.col("y") == y).select(F.col("rank").alias(name), F.col("x").alias(f"x_{name}"))
+        p = F.col("id")
+        dealt = known.sparkSession.range(min(self.pairs, n_good * n_bad)).select(p, ((F.floor(p / n_bad) + p * 7919) % n_good).alias("good"), (p % n_bad).alias("bad"))
+        sign = F.when(p % 2 == 1, 1.0).otherwise(-1.0)
+        apart = [(F.get("x_good", F.lit(j)) - F.get("x_bad", F.lit(j))) / float(s) * sign for j, s in enumerate(scale)]
+        return dealt.join(F.broadcast(side(1, "good")), "good").join(F.broadcast(side(0, "bad")), "bad").select(F.array(*apart).alias("x"), (sign > 0).cast("double").alias("label"))
+
     def _strength(self, model: QualityModel) -> Column:
         return sum((F.get("x", F.lit(j)) - c) / s * w for j, (w, c, s) in enumerate(zip(model.weights, model.center, model.scale)))
 

@@ -25,12 +25,16 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written under the shared folder, each dropped once it has been consumed."""
+    """Tables written under the shared folder.
+
+    What a result still reads stays; ``keep`` drops all others at the end of an operator.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self._next = 0
+        self._held: list[DataFrame] = []
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/t{self._next}"
@@ -38,9 +42,15 @@ class Scratch:
         df.write.parquet(path)
         read = self.spark.read.schema(df.schema).parquet(path)
         read._scratch_path = path
+        self._held.append(read)
         return read
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
+            self._held = [t for t in self._held if t is not table]
             path = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops every table but these."""
+        self.drop(*[t for t in self._held if not any(t is k for k in tables)])

@@ -214,6 +214,7 @@ class ToxicityClassifier:
         seen = {(r.y, r.calibrates): r.n for r in known.groupBy("y", "calibrates").agg(F.count("*").alias("n")).collect()}
         if not seen.get((0, False)) or not seen.get((1, False)):
             share = sum(n for (y, _), n in seen.items() if y) / max(1, sum(seen.values()))
+            scratch.keep()
             return ToxicityModel(measure, None, ((0.0, share),))
         measured = known.select(feature_column(measure, F.col("text")).alias("x"), F.col("y").cast("double").alias("label"), "calibrates")
         measured = scratch.save(measured.coalesce(4)).select(array_to_vector("x").alias("features"), "label", "calibrates")
@@ -221,6 +222,7 @@ class ToxicityClassifier:
         both = seen.get((0, True)) and seen.get((1, True))
         margins = trees.transform(measured.where("calibrates") if both else measured).select(vector_to_array("rawPrediction")[1].alias("margin"), "label")
         curve = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(margins)
+        scratch.keep()
         return ToxicityModel(measure, trees, tuple(zip(curve.boundaries.toArray().tolist(), curve.predictions.toArray().tolist())))
 
     def _scored(self, rows: DataFrame, model: ToxicityModel, text: Column) -> DataFrame:
