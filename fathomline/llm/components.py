@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .storage import Scratch
@@ -19,29 +19,31 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     chain. A component's name is its smallest node. Null ends and self-links are
     ignored; no links give no rows.
     """
-    edges = scratch.save(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    before, mark = None, _mark(edges)
+    edges, mark = _saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), scratch)
+    before = None
     while mark[0] and mark != before:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(least, F.col("u") == F.col("w")).select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
-        fresh = scratch.save(small.select("e.u", "e.v").where("u <> v").distinct())
-        scratch.drop(edges)
-        edges, before, mark = fresh, mark, _mark(fresh)
+        done, before = edges, mark
+        edges, mark = _saved(small.select("e.u", "e.v").where("u <> v").distinct(), scratch)
+        scratch.drop(done)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+def _saved(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:
+    """The written edges, and what tells them from others, observed while they were written."""
+    h, seen = F.xxhash64("u", "v"), Observation()
+    # Null-safe sums: an empty table has none.
+    marks = [F.count("*").alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(F.sum(F.shiftright(h, 20)), F.lit(0)).alias("s")]
+    table = scratch.save(edges.observe(seen, *marks))
+    return table, tuple(seen.get[c] for c in "nxs")
 
 
 def with_component(rows: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:

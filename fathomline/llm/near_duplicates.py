@@ -230,10 +230,13 @@ class NearDuplicates:
         scratch.drop(sketched, classes)
 
         stars = scratch.save(self._star_pairs(reps, scratch))
-        links = scratch.save(self._verify(stars, reps, source))
+        scratch.keep(base, reps, stars)
+        links = scratch.save(self._verify(stars, reps, source, scratch))
         first = scratch.save(connected_components(links, scratch))
+        scratch.keep(base, reps, links, first)
         rest = scratch.save(self._rest_pairs(reps, first, scratch))
-        more = scratch.save(self._verify(rest, reps, source))
+        scratch.keep(base, reps, links, rest)
+        more = scratch.save(self._verify(rest, reps, source, scratch))
         scratch.keep(base, links, more)
         found = scratch.save(with_component(base, links.union(more), scratch))
         scratch.keep(found)
@@ -290,7 +293,7 @@ class NearDuplicates:
         rare = lists.where(F.col("long") <= self.spread).join(common, ["cid", "n"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
         # Two similar sets share all but the spared values, of which only the common ones aren't in these lists.
         rare = rare.withColumn("share", size - self._spared(width))
-        found = self._pairs_within(rare)
+        found = [scratch.save(self._pairs_within(rare))]
 
         dense = common.where(size - F.col("common") <= self._spared(width)).select("cid", "n")
         pool = scratch.save(placed.join(dense, ["cid", "n"], "left_semi"))
@@ -298,13 +301,14 @@ class NearDuplicates:
         whole = self._mixed(pool.where(F.col("n") <= self.width).select("cid", "n", "bits", "comp", F.explode("sketch").alias("v")), ["v"])
         order = Window.partitionBy("cid", "n").orderBy("long", "v")
         private = F.col("n") - F.count("*").over(Window.partitionBy("cid", "n"))
-        least = whole.withColumn("rank", F.row_number().over(order) + private).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * self.ratio) + 1)
-        found = found.union(self._pairs_within(least.withColumns({"share": F.lit(1), "common": F.lit(0)})))
+        least = scratch.save(whole.withColumn("rank", F.row_number().over(order) + private).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * self.ratio) + 1))
+        found.append(scratch.save(self._pairs_within(least.withColumns({"share": F.lit(1), "common": F.lit(0)}))))
         # Larger sets: the smallest values in parts of the sketch, taken together.
         large = pool.where(F.col("n") * self.denominator > self.width * self.numerator)
         keyed = large.select("cid", "n", "comp", "bits", "sketch").mapInArrow(_combine, "cid long, n long, comp long, bits array<long>, keys array<long>")
         keyed = self._mixed(keyed.select("cid", "n", "comp", "bits", F.explode("keys").alias("v")), ["v"])
-        return found.union(self._pairs_within(keyed.withColumns({"share": F.lit(1), "common": F.lit(0)}))).distinct()
+        found.append(scratch.save(self._pairs_within(keyed.withColumns({"share": F.lit(1), "common": F.lit(0)}))))
+        return found[0].union(found[1]).union(found[2]).distinct()
 
     @staticmethod
     def _mixed(lists: DataFrame, key: list[str]) -> DataFrame:
@@ -335,7 +339,7 @@ class NearDuplicates:
             .select("a", "b")
         )
 
-    def _verify(self, pairs: DataFrame, reps: DataFrame, source: DataFrame) -> DataFrame:
+    def _verify(self, pairs: DataFrame, reps: DataFrame, source: DataFrame, scratch: Scratch) -> DataFrame:
         """The pairs that reach the threshold on full sets."""
         # The maps first: most candidates end there, and their sketches are never moved.
         maps = lambda end, name: reps.select(F.col("cid").alias(end), F.col("n").alias(f"{name}n"), F.col("bits").alias(f"{name}bits"))
@@ -343,10 +347,10 @@ class NearDuplicates:
         x = reps.select(F.col("cid").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("xs"))
         y = reps.select(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("ys"))
         union = F.slice(F.array_sort(F.array_union("xs", "ys")), 1, self.width)
-        seen = pairs.join(x, "a").join(y, "b").select(
+        seen = scratch.save(pairs.join(x, "a").join(y, "b").select(
             "a", "b", (F.greatest("an", "bn") <= self.width).alias("whole"), F.size(union).alias("of"),
             F.size(F.array_intersect(union, F.array_intersect("xs", "ys"))).alias("both"), F.size(F.array_union("xs", "ys")).alias("all"), F.size(F.array_intersect("xs", "ys")).alias("meet"),
-        )
+        ))
         sure = seen.where("whole").where(F.col("meet") * self.denominator >= F.col("all") * self.numerator).select("a", "b")
         likely = seen.where("not whole").where(F.col("both") >= F.col("of") - self._slack(self.width)).select("a", "b").distinct()
         text_of = lambda end: reps.select(F.col("cid").alias(end), "id", "f1", "f2")

@@ -313,8 +313,13 @@ def test_urls(spark):
 def test_topk(spark):
     r = random.Random(9)
     rows = [(i, " ".join(r.choice(["the", "of", "and", *[f"w{j}" for j in range(60)]]) for _ in range(r.randint(1, 40)))) for i in range(200)]
-    rows += [(300, rows[0][1]), (301, None), (302, ""), (None, "w1 w2"), (303, rows[0][1])]
+    rows += [(300, rows[0][1]), (301, None), (302, ""), (None, "w1 w2"), (303, rows[0][1]), (304, "long " + rows[1][1] + " w3 of" * 3000)]
     table = docs(spark, rows)
+    twice = docs(spark, [(7, "w1 w2"), (7, "w2 w3"), (8, "w1 w2 w2 w3"), (9, None), (None, "w1")])
+    asked = {}
+    for g in TopKSearch(k=5).search(twice, table).collect():
+        asked.setdefault(g.query_id, []).append((g.rank, g.doc_id, g.score))
+    assert set(asked) == {7, 8} and sorted(asked[7]) == sorted(asked[8])
     got = {}
     for g in TopKSearch(k=5, shard_docs=60, block=4).search(table.where("doc_id % 20 = 0"), table).collect():
         got.setdefault(g.query_id, []).append((g.rank, g.doc_id, g.score))
