@@ -1,19 +1,23 @@
-"""The inverted index: postings and their statistics, as DataFrames."""
+"""The inverted index: postings and their statistics, written once and read by every search."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import tokens
+from fathomline.sources.tables import Tables
+
+
+def _words() -> Column:
+    return tokens(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("section", F.lit(""))))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
     """``id, tok, tf`` over text and section title."""
-    words = tokens(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("section", F.lit(""))))
-    return chunks.select("id", F.explode(words).alias("tok")).groupBy("id", "tok").agg(F.count("*").alias("tf"))
+    return chunks.select("id", F.explode(_words()).alias("tok")).groupBy("id", "tok").agg(F.count("*").alias("tf"))
 
 
 def doc_freq(posts: DataFrame) -> DataFrame:
@@ -22,8 +26,7 @@ def doc_freq(posts: DataFrame) -> DataFrame:
 
 def doc_lengths(chunks: DataFrame) -> DataFrame:
     """``id, dl`` of every chunk, also of one without tokens."""
-    words = tokens(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("section", F.lit(""))))
-    return chunks.select("id", F.size(words).cast("long").alias("dl"))
+    return chunks.select("id", F.size(_words()).cast("long").alias("dl"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -47,22 +50,30 @@ def tfidf_norms(posts: DataFrame, idf: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """The tables that every search reads."""
+    """The written tables that every search reads.
+
+    ``postings`` has ``tok, id, tf`` and, beside each posting, what scoring
+    needs of its chunk: ``dl, order, norm, course, kind``. It is sorted by token,
+    so that a scan for a few tokens skips most row groups.
+    """
 
+    tables: Tables
     chunks: DataFrame
     postings: DataFrame
-    lengths: DataFrame
     stats: DataFrame
     idf: DataFrame
-    norms: DataFrame
 
     @classmethod
-    def build(cls, chunks: DataFrame, keep: bool = False) -> Index:
-        """``keep`` holds the postings in memory or on disk, for sessions that search many times."""
-        posts = postings(chunks)
-        if keep:
-            posts = posts.persist()
-        lengths = doc_lengths(chunks)
-        stats = corpus_stats(lengths)
-        idf = idf_stats(doc_freq(posts), stats)
-        return cls(chunks, posts, lengths, stats, idf, tfidf_norms(posts, idf))
+    def build(cls, chunks: DataFrame) -> Index:
+        """Tokenises the chunks, counts and writes."""
+        tables = Tables(chunks.sparkSession, "index")
+        chunks = tables.write(chunks, "chunks")
+        lengths = tables.write(doc_lengths(chunks), "lengths")
+        stats = tables.write(corpus_stats(lengths), "stats")
+        counted = tables.write(postings(chunks), "counts")
+        idf = tables.write(idf_stats(doc_freq(counted), stats), "idf")
+        about = chunks.select("id", "order", "course", "kind").join(lengths, "id").join(tfidf_norms(counted, idf), "id")
+        posts = counted.join(about, "id").repartitionByRange("tok", "id").sortWithinPartitions("tok")
+        posts = tables.write(posts, "postings")
+        tables.drop(counted, lengths)
+        return cls(tables, chunks, posts, stats, idf)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from fathomline.functions import paths
 from fathomline.functions.text import SPACE, chapter_hint, lines, strip
+from fathomline.sources.tables import Tables
 
 # The heading, page-marker, timing and cue-number patterns, the title before the first heading, and the least length of a piece.
 HEADING = r"^#{1,6}(?U)\s+(.*)"
@@ -104,17 +105,16 @@ def chunks(found: DataFrame, size: int = 1200, overlap: int = 120, layer: str =
 def assign_order(rows: DataFrame) -> DataFrame:
     """The corpus-wide ``order`` of ``rel, ordinal`` rows: by path components, then ordinal, from 1.
 
-    Counts are summed by the first two and the first three components, whose
-    groups are contiguous in path order; so only counts are ever sorted in one
-    place, never rows.
+    Rows are dealt by ranges, sorted within each and written with their places;
+    then only the ranges' sizes, one row for each, are summed in one place.
     """
-    parts = F.split("rel", "/")
-    rows = rows.withColumn("g1", F.slice(parts, 1, 2)).withColumn("g2", F.slice(parts, 1, 3))
-    fine = rows.groupBy("g1", "g2").agg(F.count("*").alias("n"))
-    coarse = fine.groupBy("g1").agg(F.sum("n").alias("n"))
-    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    coarse = coarse.select("g1", ahead(Window.orderBy("g1")).alias("before1"))
-    fine = fine.select("g1", "g2", ahead(Window.partitionBy("g1").orderBy("g2")).alias("before2"))
-    inside = F.row_number().over(Window.partitionBy("g1", "g2").orderBy(F.split("rel", "/"), "ordinal"))
-    placed = rows.withColumn("inside", inside).join(fine, ["g1", "g2"]).join(coarse, "g1")
-    return placed.withColumn("order", (F.col("before1") + F.col("before2") + F.col("inside")).cast("long")).drop("g1", "g2", "before1", "before2", "inside")
+    path = F.split("rel", "/")
+    sorted_ = rows.withColumn("path", path).repartitionByRange("path", "ordinal").sortWithinPartitions("path", "ordinal").drop("path")
+    # The number of a row is its range's in the upper bits and its place there in the lower 33.
+    placed = Tables(rows.sparkSession, "order").write(sorted_.withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("part", before.alias("before"))
+    located = placed.withColumn("part", part).join(F.broadcast(sizes), "part")  # one row for each range
+    return located.withColumn("order", F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("part", "place", "before")

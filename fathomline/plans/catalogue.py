@@ -11,14 +11,14 @@ from fathomline.functions import paths, text
 from fathomline.operators import catalog, evaluate, hybrid, messages, sections, verify
 from fathomline.operators import vectors as store_ops
 from fathomline.operators.index import Index, corpus_stats, doc_freq, doc_lengths, idf_stats, postings, tfidf_norms
-from fathomline.operators.lexical import bm25, coverage, matches, query_terms, search_lexical, tfidf
+from fathomline.operators.lexical import lexical_scores, query_terms, search_lexical
 from fathomline.schema import SearchConfig
 from fathomline.sources.files import golden
 
 from . import agent
 from . import fixtures as X
 from . import oracles as O
-from .corpus import benchmark_queries, document_chunks, document_sections, embedding_store, table
+from .corpus import benchmark_queries, document_chunks, document_sections, embedding_store, index_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,15 +36,16 @@ def query(sql: str | None = None):
     return add
 
 
+def rounded(vec: str) -> Column:
+    """All components of a vector at six decimals, as text."""
+    return F.array_join(F.transform(vec, lambda v: F.format_string("%.6f", F.round(v.cast("double"), 6) + F.lit(0.0))), " ").alias("vec")
+
+
 def six(c: str | Column, name: str | None = None) -> Column:
     """Scores are compared at six decimals."""
     return F.round(c, 6).alias(name or c)
 
 
-def index_of(spark: SparkSession, sf: str) -> Index:
-    return Index.build(document_chunks(spark, sf))
-
-
 # ---- sources, sinks and ingestion ----
 
 _FILES = X.values(X.FILES, "files", "rel, text")
@@ -66,9 +67,9 @@ def q_scan_chunks(spark, sf):
     return document_chunks(spark, sf).select("id", "course", "kind", "layer", "series", "section", "order", "text")
 
 
-@query(f"WITH {O.STORE} SELECT id, len(vec) AS dim FROM store")
+@query(f"WITH {O.STORE} SELECT id, {O.rounded('vec')} AS vec FROM store")
 def q_scan_vectors(spark, sf):
-    return embedding_store(spark, sf).select("id", F.size("vec").cast("long").alias("dim"))
+    return embedding_store(spark, sf).select("id", rounded("vec"))
 
 
 @query(
@@ -130,14 +131,14 @@ _UPSERTS = (
 
 @query(
     f"WITH {_UPSERTS}, fresh AS (SELECT id, vec FROM added WHERE id NOT IN (SELECT id FROM held) QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1) "
-    f"SELECT id, round(CAST(vec[1] AS DOUBLE), 6) AS first FROM held UNION ALL SELECT id, round(vec[1] / {O.length('vec')}, 6) FROM fresh"
+    f"SELECT id, {O.rounded('vec')} AS vec FROM held UNION ALL SELECT id, {O.rounded('vec', O.length('vec'))} FROM fresh"
 )
 def q_vector_upsert(spark, sf):
     store = embedding_store(spark, sf)
     pos = F.col("id").cast("long")
     added = store.withColumn("pos", pos).union(store.select("id", F.reverse("vec").alias("vec"), (pos + 1_000_000).alias("pos")))
     held = store.where(pos % 3 != 0).select("id", F.transform("vec", lambda v: v.cast("double")).alias("vec"))
-    return store_ops.upsert(held, added).select("id", six(F.get("vec", F.lit(0)), "first"))
+    return store_ops.upsert(held, added).select("id", rounded("vec"))
 
 
 @query(f"WITH {O.CHUNKS} SELECT CAST(floor((\"order\" - 1) / 1000) AS BIGINT) AS shard, id AS custom_id, 'small' AS model, md5(text) AS input FROM chunks")
@@ -244,10 +245,10 @@ def q_ingest_files(spark, sf):
 # ---- vectors ----
 
 
-@query(f"WITH {O.STORE} SELECT id, round(CAST(vec[1] AS DOUBLE) / {O.length('vec')}, 6) AS first, round(CAST(vec[64] AS DOUBLE) / {O.length('vec')}, 6) AS last FROM store")
+@query(f"WITH {O.STORE} SELECT id, {O.rounded('vec', O.length('vec'))} AS vec FROM store")
 def q_vector_normalize(spark, sf):
     rows = store_ops.normalized(embedding_store(spark, sf))
-    return rows.select("id", six(F.element_at("vec", 1), "first"), six(F.element_at("vec", -1), "last"))
+    return rows.select("id", rounded("vec"))
 
 
 @query(f"WITH {O.STORE}, c AS (SELECT id, vec[1:16] AS vec FROM store) SELECT id, len(vec) AS dim, round(CAST(vec[1] AS DOUBLE) / {O.length('vec')}, 6) AS first FROM c")
@@ -279,23 +280,23 @@ _CHUNK_VECTORS = f"{O.CHUNKS}, total AS (SELECT count(*) AS n FROM embeddings),
 def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
     vecs = table(spark, sf, "embeddings")
     n = vecs.agg(F.count("*").alias("n"))
-    placed = document_chunks(spark, sf).select("id", "order").crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("order") % F.col("n"))  # one row
+    placed = index_of(spark, sf).chunks.select("id", "order").crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("order") % F.col("n"))  # one row
     return placed.join(vecs.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("id", "order", "vec")
 
 
-@query(f"WITH {_CHUNK_VECTORS} SELECT id, round(CAST(vec[1] AS DOUBLE), 6) AS first FROM cvec")
+@query(f"WITH {_CHUNK_VECTORS} SELECT id, {O.rounded('vec')} AS vec FROM cvec")
 def q_align_vectors(spark, sf):
-    return store_ops.align(document_chunks(spark, sf).select("id"), chunk_vectors(spark, sf).drop("order")).select("id", six(F.element_at("vec", 1).cast("double"), "first"))
+    return store_ops.align(index_of(spark, sf).chunks.select("id"), chunk_vectors(spark, sf).drop("order")).select("id", rounded("vec"))
 
 
 @query(f"WITH {O.CHUNKS} SELECT id FROM chunks WHERE \"order\" % 7 = 0")
 def q_missing_vectors(spark, sf):
-    return store_ops.missing(document_chunks(spark, sf), chunk_vectors(spark, sf).where(F.col("order") % 7 != 0)).select("id")
+    return store_ops.missing(index_of(spark, sf).chunks, chunk_vectors(spark, sf).where(F.col("order") % 7 != 0)).select("id")
 
 
 @query(f"WITH {O.CHUNKS} SELECT id FROM chunks WHERE course = 'src3' EXCEPT SELECT id FROM chunks WHERE \"order\" % 2 = 0")
 def q_incremental_ids(spark, sf):
-    rows = document_chunks(spark, sf)
+    rows = index_of(spark, sf).chunks
     return rows.where("course = 'src3'").select("id").subtract(rows.where(F.col("order") % 2 == 0).select("id"))
 
 
@@ -321,29 +322,26 @@ def q_idf_stats(spark, sf):
 @query(f"WITH {O.INDEX} SELECT id, round(norm, 6) AS norm FROM norms")
 def q_tfidf_norms(spark, sf):
     found = index_of(spark, sf)
-    return tfidf_norms(found.postings, found.idf).select("id", six("norm"))
+    return tfidf_norms(found.postings.select("id", "tok", "tf"), found.idf).select("id", six("norm"))
 
 
-def _found(spark, sf):
-    index, terms = index_of(spark, sf), query_terms(benchmark_queries(spark, sf))
-    return index, terms, matches(index, terms)
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_scores(index_of(spark, sf), benchmark_queries(spark, sf))
 
 
 @query(f"WITH {O.lexical(O.BENCHMARK)} SELECT qid, id, round(bm25, 6) AS bm25 FROM both_scores")
 def q_search_bm25(spark, sf):
-    index, _, found = _found(spark, sf)
-    return bm25(index, found, SearchConfig()).select("qid", "id", six("bm25"))
+    return _scored(spark, sf).select("qid", "id", six("bm25"))
 
 
 @query(f"WITH {O.lexical(O.BENCHMARK)} SELECT qid, id, round(tfidf, 6) AS tfidf FROM both_scores")
 def q_search_tfidf(spark, sf):
-    return tfidf(*_found(spark, sf)).select("qid", "id", six("tfidf"))
+    return _scored(spark, sf).select("qid", "id", six("tfidf"))
 
 
 @query(f"WITH {O.lexical(O.BENCHMARK)} SELECT qid, id, round(coverage, 6) AS coverage FROM both_scores")
 def q_coverage(spark, sf):
-    _, terms, found = _found(spark, sf)
-    return coverage(terms, found).select("qid", "id", six("coverage"))
+    return _scored(spark, sf).select("qid", "id", six("coverage"))
 
 
 _HIT = "qid, id, rank, round(rrf, 6) AS rrf, round(bm25, 6) AS bm25, round(tfidf, 6) AS tfidf, round(coverage, 6) AS coverage"
@@ -365,22 +363,22 @@ def q_search_filtered(spark, sf):
 
 @query(f"WITH {O.CHUNKS} SELECT course, count(*) AS n FROM chunks GROUP BY course")
 def q_list_courses(spark, sf):
-    return catalog.list_courses(document_chunks(spark, sf))
+    return catalog.list_courses(index_of(spark, sf).chunks)
 
 
 @query(f"WITH {O.CHUNKS} SELECT section, min(\"order\") AS first FROM chunks WHERE contains(lower(course), 'src1') GROUP BY section")
 def q_outline(spark, sf):
-    return catalog.outline(document_chunks(spark, sf), "Src1")
+    return catalog.outline(index_of(spark, sf).chunks, "Src1")
 
 
 @query(f"WITH {O.CHUNKS} SELECT id, course, section, \"order\", text, layer FROM chunks WHERE contains(lower(course), 'src') AND section = '7'")
 def q_fetch_section(spark, sf):
-    return catalog.fetch_section(document_chunks(spark, sf), "SRC", "7")
+    return catalog.fetch_section(index_of(spark, sf).chunks, "SRC", "7")
 
 
 @query(f"WITH {O.CHUNKS} SELECT course, count(DISTINCT rel) AS files, count(*) AS chunks FROM chunks GROUP BY ROLLUP (course)")
 def q_ingest_stats(spark, sf):
-    return catalog.ingest_stats(document_chunks(spark, sf))
+    return catalog.ingest_stats(index_of(spark, sf).chunks)
 
 
 _WISHES = [(1, "SRC7"), (2, "src1"), (3, "rc1"), (4, "nothing")]
@@ -391,17 +389,17 @@ _WISHES = [(1, "SRC7"), (2, "src1"), (3, "rc1"), (4, "nothing")]
     "m AS (SELECT qid, course, row_number() OVER (PARTITION BY qid ORDER BY lower(course) <> lower(q), n DESC, first) AS r FROM w JOIN c ON contains(lower(course), lower(q))) SELECT w.qid, course FROM w LEFT JOIN m ON w.qid = m.qid AND r = 1"
 )
 def q_course_match(spark, sf):
-    courses = document_chunks(spark, sf).groupBy("course").agg(F.count("*").alias("n"), F.min("order").alias("first"))
+    courses = index_of(spark, sf).chunks.groupBy("course").agg(F.count("*").alias("n"), F.min("order").alias("first"))
     return catalog.course_match(X.frame(spark, _WISHES, "qid int, q string"), courses)
 
 
 # ---- hybrid search ----
 
 _CVECTOR = (
-    f"{_CHUNK_VECTORS.replace(O.CHUNKS + ', ', '')}, unit AS (SELECT id, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS v, {O.length('vec')} AS l FROM cvec), "
+    f"{_CHUNK_VECTORS.replace(O.CHUNKS + ', ', '')}, unit AS MATERIALIZED (SELECT id, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS v, {O.length('vec')} AS l FROM cvec), "
     "qvec AS (SELECT item_id AS qid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, vec_id FROM benchmark JOIN embeddings ON vec_id = item_id), "
-    f"qunit AS (SELECT qid, v, {O.length('v')} AS l FROM qvec), cosines AS (SELECT qid, d.id, list_dot_product(q.v, d.v) / (q.l * d.l) AS cos FROM qunit q, unit d), "
-    "vall AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(cos, 9) DESC, id) - 1 AS rank FROM cosines)"
+    f"qunit AS (SELECT qid, v, {O.length('v')} AS l FROM qvec), cosines AS MATERIALIZED (SELECT qid, d.id, list_dot_product(q.v, d.v) / (q.l * d.l) AS cos FROM qunit q, unit d), "
+    "vall AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(cos, 9) DESC, id) - 1 AS rank FROM cosines)"
 )
 
 
@@ -420,9 +418,10 @@ def _vector_ranking(spark: SparkSession, sf: str, pool: int) -> DataFrame:
     return store_ops.topk(chunk_vectors(spark, sf).select("id", "vec"), asked, pool)
 
 
-def _hybrid(spark: SparkSession, sf: str, config: SearchConfig) -> tuple[Index, DataFrame]:
+def _hybrid(spark: SparkSession, sf: str, config: SearchConfig) -> tuple[Index, DataFrame, DataFrame]:
     index = index_of(spark, sf)
-    return index, hybrid.search_hybrid(index, benchmark_queries(spark, sf), _vector_ranking(spark, sf, config.recall_pool), config)
+    scored = hybrid.all_scores(index, benchmark_queries(spark, sf), config)
+    return index, hybrid.search_hybrid(index, benchmark_queries(spark, sf), _vector_ranking(spark, sf, config.recall_pool), config, scored=scored), scored
 
 
 _FUSED = "qid, id, rank, round(rrf, 6) AS rrf, round(cos, 6) AS cos, round(coverage, 6) AS coverage"
@@ -444,7 +443,7 @@ def q_hybrid_thresholds(spark, sf):
 
 @query(f"WITH {_hybrid_sql(0.0, 0.0, 1.0)} SELECT qid, rank, round(rrf, 6) AS rrf, round(cos, 6) AS cos, round(coverage, 6) AS coverage, kind, course, section FROM full_hits JOIN chunks USING (id)")
 def q_score_diagnostics(spark, sf):
-    index, hits = _hybrid(spark, sf, SearchConfig())
+    index, hits, _ = _hybrid(spark, sf, SearchConfig())
     shown = hybrid.diagnostics(hits, index.chunks)
     return shown.select("qid", F.col("rank").cast("long").alias("rank"), six("rrf"), six("cos"), six("coverage"), "kind", "course", "section")
 
@@ -455,8 +454,8 @@ def q_score_diagnostics(spark, sf):
 )
 def q_rerank_topk(spark, sf):
     config = SearchConfig(rerank=True)
-    index, hits = _hybrid(spark, sf, config)
-    top = hybrid.rerank(hits, benchmark_queries(spark, sf), index, config.k)
+    index, hits, scored = _hybrid(spark, sf, config)
+    top = hybrid.rerank(hits, benchmark_queries(spark, sf), index, config.k, scored=scored)
     return top.select("qid", "id", F.col("rank").cast("long").alias("rank"), six("rerank"))
 
 
@@ -538,7 +537,7 @@ def q_citation_dedup(spark, sf):
 # ---- evaluation ----
 
 # The golden set: a benchmark item expects the documents that hold its text.
-_GOLD = f"{O.lexical(O.BENCHMARK)}, gold AS (SELECT b.item_id AS qid, CAST(d.doc_id AS VARCHAR) AS section, d.lang FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+_GOLD = f"{O.lexical(O.BENCHMARK)}, gold AS MATERIALIZED (SELECT b.item_id AS qid, CAST(d.doc_id AS VARCHAR) AS section, d.lang FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 _RANKS = f"{_GOLD}, asked AS (SELECT qid, min(lang) AS lang FROM gold GROUP BY qid), first AS (SELECT qid, min(rank) + 1 AS r FROM hits JOIN chunks USING (id) JOIN gold USING (qid, section) GROUP BY qid), ranks AS (SELECT qid, lang, 'course' AS kind, CAST(coalesce(r, 0) AS BIGINT) AS r FROM asked LEFT JOIN first USING (qid))"
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.operators.index import Index
 from fathomline.operators.sections import assign_order, chunks
+from fathomline.sources.tables import version
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +34,15 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedding_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vec"))
+
+
+#: One index for each application and state of its documents.
+_INDEXES: dict[tuple, Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of the documents, built at the first call and read by all later ones until their files change."""
+    key = (spark.sparkContext.applicationId, sf_dir, version(table(spark, sf_dir, "documents")))
+    if key not in _INDEXES or not _INDEXES[key].tables.there():
+        _INDEXES[key] = Index.build(document_chunks(spark, sf_dir))
+    return _INDEXES[key]
