@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one pass handles; it bounds the memory of a task.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,6 +45,7 @@ def passes(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         to = max(at + 1, int(np.searchsorted(ends, before + PASS_BYTES, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Scratch
@@ -38,12 +38,9 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _saved(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:
-    """The written edges, and what tells them from others, observed while they were written."""
-    h, seen = F.xxhash64("u", "v"), Observation()
-    # Null-safe sums: an empty table has none.
-    marks = [F.count("*").alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(F.sum(F.shiftright(h, 20)), F.lit(0)).alias("s")]
-    table = scratch.save(edges.observe(seen, *marks))
-    return table, tuple(seen.get[c] for c in "nxs")
+    """The written edges, and numbers that tell them from others."""
+    table, h = scratch.save(edges), F.xxhash64("u", "v")
+    return table, tuple(table.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
 
 
 def with_component(rows: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:

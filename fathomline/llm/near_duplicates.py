@@ -110,9 +110,9 @@ _DEALS, _PARTS, _TAKEN = 2, 24, 3
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of combined values of each sketch."""
-    for batch in batches:
+    for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
         lists = batch.column("sketch")
-        n = np.diff(np.asarray(lists.offsets))
+        n = lists.value_lengths().to_numpy(zero_copy_only=False)
         values = np.asarray(lists.flatten()).astype(np.int64)
         u, owner = values.view(np.uint64), np.repeat(np.arange(len(n)), n)
         rank_of = np.arange(len(values))  # ascending within a sketch
@@ -226,7 +226,7 @@ class NearDuplicates:
         base = scratch.save(
             sketched.select("id", "row", *key).join(classes, key, "left").select("id", "n", F.when(own, F.col("cid")).otherwise(F.col("row")).alias("class"), F.when(own, F.col("least")).otherwise(F.col("id")).alias("least"))
         )
-        reps = scratch.save(usable.join(classes.select("cid"), F.col("row") == F.col("cid")).select("cid", "id", "n", "f1", "f2", "sketch", "bits"))
+        reps = scratch.save(usable.join(classes.select("cid", "least"), F.col("row") == F.col("cid")).select("cid", "id", "least", "n", "f1", "f2", "sketch", "bits"))
         scratch.drop(sketched, classes)
 
         stars = scratch.save(self._star_pairs(reps, scratch))
@@ -257,17 +257,18 @@ class NearDuplicates:
         """At most one pair per representative: with the leader of most of its lists.
 
         A list is led by its most central member, the one whose own lists are
-        longest: among near copies that's the text they were made from.
+        longest: among near copies that's the text they were made from. Of equal
+        ones it is that of the smallest id, as originals tend to come first.
         """
         step = math.log(1 / self.ratio)
-        lists = reps.select("cid", "n", F.explode(F.slice("sketch", 1, self.probe)).alias("v"))
+        lists = reps.select("cid", "least", "n", F.explode(F.slice("sketch", 1, self.probe)).alias("v"))
         long = lists.groupBy("v").agg(F.count("*").alias("long")).where("long > 1")
         lists = scratch.save(lists.join(long, "v"))
         central = lists.groupBy("cid", "n").agg(F.sum("long").alias("weight"))
-        lists = lists.join(central, ["cid", "n"]).select("v", "cid", "n", "weight", F.floor(F.log("n") / step).alias("size"))
+        lists = lists.join(central, ["cid", "n"]).select("v", "cid", "least", "n", "weight", F.floor(F.log("n") / step).alias("size"))
         leaders = (
             lists.groupBy("v", "size")
-            .agg(F.max(F.struct("weight", (-F.col("cid")).alias("nc"), "n")).alias("lead"))
+            .agg(F.max(F.struct("weight", (-F.col("least")).alias("ni"), (-F.col("cid")).alias("nc"), "n")).alias("lead"))
             .select("v", "size", (-F.col("lead.nc")).alias("a"), F.col("lead.n").alias("lead_n"))
         )
         asked = lists.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") - 1)))

@@ -301,14 +301,16 @@ class SecretScanner:
     def redact(self, docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
         spark = docs.sparkSession
         model = model or self.fit(spark)
-        found = self._judged(docs, model).where("is_secret").select(F.col("doc_id").alias("f_id"), F.col("print").alias("f_print"), "start", "end", "kind").distinct()
+        scratch = Scratch(spark, "secrets")
+        found = scratch.save(self._judged(docs, model).where("is_secret").select(F.col("doc_id").alias("f_id"), F.col("print").alias("f_print"), "start", "end", "kind")).distinct()
         # Spans that overlap are replaced as one: a new one begins where no earlier span reaches.
         own = Window.partitionBy("f_id", "f_print").orderBy("start", "end", "kind")
         apart = F.coalesce(F.col("start") >= F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
         found = found.withColumn("apart", apart.cast("int")).withColumn("nth", F.sum("apart").over(own))
         whole = found.groupBy("f_id", "f_print", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
         hidden = whole.groupBy("f_id", "f_print").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("f_spans"))
-        hidden = Scratch(spark, "secrets").save(hidden)
+        hidden = scratch.save(hidden)
+        scratch.keep(hidden)
         text, doc_id = F.col(f"d.`{self.text_col}`"), F.col(f"d.`{self.id_col}`").cast("long")
         # Kept text between the spans, each span replaced by its kind.
         ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("f_spans", lambda s: s["end"]))
