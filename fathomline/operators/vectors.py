@@ -88,6 +88,8 @@ def _block_topk(store: DataFrame, qids: list, matrix: np.ndarray, k: int, qid_ty
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, q = sent.value
         for batch in batches:
+            # Vectors that are null or of another length than the queries' have no cosine with them.
+            batch = batch[[v is not None and len(v) == q.shape[1] for v in batch["vec"]]]
             ids, x = batch["id"].to_numpy(), np.array(batch["vec"].tolist(), np.float64)
             if not len(x) or not len(names):
                 continue

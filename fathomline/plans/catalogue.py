@@ -81,7 +81,10 @@ def q_scan_golden(spark, sf):
     return rows.select("q", "lang", F.size("expect").alias("n_expect"), F.get("expect", F.lit(0))["kind"].alias("kind"))
 
 
-@query("SELECT 'a1' AS id, 2 AS dim, 0.75::DOUBLE AS total UNION ALL SELECT 'a4', 3, 1.625")
+@query(
+    f"WITH {X.values(X.RESPONSES, 'r', 'line')}, o AS (SELECT json_extract_string(line, '$.custom_id') AS id, CAST(json_extract(line, '$.response.body.data[0].embedding') AS DOUBLE[]) AS vec FROM r "
+    "WHERE line <> '' AND json_extract_string(line, '$.error') IS NULL AND json_extract_string(line, '$.response.status_code') = '200') SELECT id, CAST(len(vec) AS INT) AS dim, list_sum(vec) AS total FROM o"
+)
 def q_parse_batch_output(spark, sf):
     found = messages.parse_responses(X.frame(spark, X.RESPONSES, "value string"))
     return found.select("id", F.size("vec").alias("dim"), F.aggregate("vec", F.lit(0.0), lambda s, v: s + v).alias("total"))
@@ -207,8 +210,10 @@ def q_char_window(spark, sf):
 
 
 @query(
-    "SELECT * FROM (VALUES ('book/T/f.txt','book','T',NULL), ('course/S1/S2/My_C/f.md','course','My C','S1/S2'), ('course/f.txt',NULL,NULL,NULL), ('Video_A_B/f.vtt','video','A B',NULL), ('f.txt',NULL,NULL,NULL), ('Book_The_Art/x.TXT','book','The Art',NULL), "
-    "('DATA/set_1/sub/y.srt','data','sub','set 1'), ('A/z.txt','course','A',NULL), ('a/b/c.txt','course','a',NULL), ('a/b.txt','course','a',NULL), ('a-b/c.txt','course','a-b',NULL), ('a.b/c.txt','course','a.b',NULL), ('notes/_skip.md','course','notes',NULL), ('notes/readme.pdf','course','notes',NULL)) t(rel, kind, course, series)"
+    f"WITH {X.values(X.PATHS, 'p', 'rel')}, s AS (SELECT rel, string_split(rel, '/') AS x FROM p), t AS (SELECT rel, x, len(x) AS n, x[1] AS top, lower(x[1]) IN ('course', 'book', 'video', 'data') AS bucket FROM s) "
+    "SELECT rel, CASE WHEN bucket THEN CASE WHEN n >= 3 THEN lower(top) END WHEN n >= 2 THEN coalesce(nullif(lower(regexp_extract(top, '^(Video|Book|Data)_', 1)), ''), 'course') END AS kind, "
+    "CASE WHEN bucket THEN CASE WHEN n >= 3 THEN replace(x[n - 1], '_', ' ') END WHEN n >= 2 THEN replace(regexp_replace(top, '^(Video|Book|Data)_', ''), '_', ' ') END AS course, "
+    "CASE WHEN bucket AND n > 3 THEN replace(array_to_string(x[2:n - 2], '/'), '_', ' ') END AS series FROM t"
 )
 def q_classify_path(spark, sf):
     return X.frame(spark, X.PATHS, "rel string").withColumn("c", paths.classify(F.col("rel"))).select("rel", "c.kind", "c.course", "c.series")
@@ -576,10 +581,10 @@ def q_eval_misses(spark, sf):
     return evaluate.misses(_golden_ranks(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('anchoring', 'zh', 'book', 1), ('nets', 'en', 'other', 2), ('talks', 'en', 'course', 0), ('nothing', 'en', 'data', 0)) t(q, lang, kind, r)")
+@query("SELECT * FROM (VALUES ('ferries', 'zh', 'book', 1), ('nets', 'en', 'other', 2), ('talks', 'en', 'course', 0), ('nothing', 'en', 'data', 0)) t(q, lang, kind, r)")
 def q_golden_match(spark, sf):
     rows = golden(X.frame(spark, X.GOLDEN, "value string"))
-    numbers = X.frame(spark, [(1, "anchoring"), (2, "nets"), (3, "talks"), (4, "nothing")], "n int, q string")
+    numbers = X.frame(spark, [(1, "ferries"), (2, "nets"), (3, "talks"), (4, "nothing")], "n int, q string")
     numbered = rows.join(numbers, "q").select(F.col("n").alias("qid"), "q", "lang", "expect")
     hits = X.frame(spark, X.HITS, "qid int, rank int, kind string, course string, section string")
     found = evaluate.first_ranks(numbered, hits).join(numbered.select("qid", "q"), "qid")
@@ -617,7 +622,9 @@ def q_agent_draft(spark, sf):
 
 
 @query(
-    "SELECT * FROM (VALUES (1,'help',''), (2,'help',''), (3,'courses',''), (4,'use','Deep Learning'), (5,'use','less'), (6,'whoami',''), (7,'teach','gradient descent'), (8,'ask','What is BM25?'), (9,'help',''), (10,'help','')) t(k, action, argument)"
+    f"WITH {X.values(X.MESSAGES, 'm', 'k, t')}, s AS (SELECT k, trim(coalesce(t, ''), {O._WS}) AS t, lower(trim(coalesce(t, ''), {O._WS})) AS low FROM m) "
+    "SELECT k, CASE WHEN t = '' OR low IN ('/help', 'help', '帮助', '?', '？') THEN 'help' WHEN low IN ('/courses', '/course', 'courses') THEN 'courses' WHEN low LIKE '/use%' THEN 'use' WHEN low LIKE '/whoami%' THEN 'whoami' WHEN low LIKE '/teach%' THEN 'teach' ELSE 'ask' END AS action, "
+    f"CASE action WHEN 'use' THEN trim(substr(t, 5), {O._WS}) WHEN 'teach' THEN trim(substr(t, 7), {O._WS}) WHEN 'ask' THEN t ELSE '' END AS argument FROM s"
 )
 def q_route_command(spark, sf):
     return X.frame(spark, X.MESSAGES, "k int, t string").withColumn("r", messages.route(F.col("t"))).select("k", "r.action", "r.argument")
