@@ -64,7 +64,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Learned scores and hash sketches have no SQL form; tests hold the stages against brute-force versions.
+#: Learned scores and hash sketches have no SQL form; tests hold the operators of the stages against brute force, held-out labels or round trips.
 ORACLE_SQL = None
 
 
