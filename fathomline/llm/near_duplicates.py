@@ -269,17 +269,17 @@ class NearDuplicates:
         leaders = (
             lists.groupBy("v", "size")
             .agg(F.max(F.struct("weight", (-F.col("least")).alias("ni"), (-F.col("cid")).alias("nc"), "n")).alias("lead"))
-            .select("v", "size", (-F.col("lead.nc")).alias("a"), F.col("lead.n").alias("lead_n"))
+            .select("v", "size", (-F.col("lead.nc")).alias("a"), F.col("lead.ni").alias("ni"), F.col("lead.n").alias("lead_n"))
         )
         asked = lists.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") - 1)))
         return (
             asked.join(leaders, ["v", "size"])
             .where((F.col("a") != F.col("cid")) & self._close_sizes("n", "lead_n"))
             .groupBy("cid", "a")
-            .agg(F.count("*").alias("shared"), F.min("n").alias("n"))
+            .agg(F.count("*").alias("shared"), F.min("n").alias("n"), F.first("ni").alias("ni"))
             .where(F.col("shared") * 3 >= F.least(F.col("n"), F.lit(self.probe)))
             .groupBy("cid")
-            .agg(F.max(F.struct("shared", (-F.col("a")).alias("na"))).alias("best"))
+            .agg(F.max(F.struct("shared", "ni", (-F.col("a")).alias("na"))).alias("best"))
             .select((-F.col("best.na")).alias("a"), F.col("cid").alias("b"))
         )
 
