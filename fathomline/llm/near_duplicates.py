@@ -294,7 +294,7 @@ class NearDuplicates:
         rare = lists.where(F.col("long") <= self.spread).join(common, ["cid", "n"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
         # Two similar sets share all but the spared values, of which only the common ones aren't in these lists.
         rare = rare.withColumn("share", size - self._spared(width))
-        found = [scratch.save(self._pairs_within(rare))]
+        found = [scratch.save(self._pairs_within(rare, scratch))]
 
         dense = common.where(size - F.col("common") <= self._spared(width)).select("cid", "n")
         pool = scratch.save(placed.join(dense, ["cid", "n"], "left_semi"))
@@ -303,12 +303,12 @@ class NearDuplicates:
         order = Window.partitionBy("cid", "n").orderBy("long", "v")
         private = F.col("n") - F.count("*").over(Window.partitionBy("cid", "n"))
         least = scratch.save(whole.withColumn("rank", F.row_number().over(order) + private).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * self.ratio) + 1))
-        found.append(scratch.save(self._pairs_within(least.withColumns({"share": F.lit(1), "common": F.lit(0)}))))
+        found.append(scratch.save(self._pairs_within(least.withColumns({"share": F.lit(1), "common": F.lit(0)}), scratch)))
         # Larger sets: the smallest values in parts of the sketch, taken together.
         large = pool.where(F.col("n") * self.denominator > self.width * self.numerator)
         keyed = large.select("cid", "n", "comp", "bits", "sketch").mapInArrow(_combine, "cid long, n long, comp long, bits array<long>, keys array<long>")
         keyed = self._mixed(keyed.select("cid", "n", "comp", "bits", F.explode("keys").alias("v")), ["v"])
-        found.append(scratch.save(self._pairs_within(keyed.withColumns({"share": F.lit(1), "common": F.lit(0)}))))
+        found.append(scratch.save(self._pairs_within(keyed.withColumns({"share": F.lit(1), "common": F.lit(0)}), scratch)))
         return found[0].union(found[1]).union(found[2]).distinct()
 
     @staticmethod
@@ -318,27 +318,28 @@ class NearDuplicates:
         about = parts.groupBy(*key).agg(F.count("*").alias("reach"), F.sum("rows").alias("long"), F.max_by("comp", F.struct("rows", "comp")).alias("main"))
         return lists.join(about.where("reach > 1").drop("reach"), key)
 
-    def _pairs_within(self, lists: DataFrame) -> DataFrame:
+    def _pairs_within(self, lists: DataFrame, scratch: Scratch) -> DataFrame:
         """Pairs of different components that meet in as many lists as similar sets must.
 
-        The members outside a list's main component are compared with all.
+        The members outside a list's main component are compared with all. Every
+        member carries the values of its lists (at most as many as a sketch has),
+        so that a pair is told apart where it first meets, the list of the
+        smallest value that both hold, and leaves the join once instead of once
+        for each list.
         """
         own = [c for c in ("cid", "n", "comp", "bits", "share", "common") if c in lists.columns]
-        x = lists.where("comp <> main").select("v", *[F.col(c).alias(f"x_{c}") for c in own])
-        y = lists.select("v", "main", *[F.col(c).alias(f"y_{c}") for c in own])
+        members = scratch.save(lists.groupBy("cid").agg(*[F.first(c).alias(c) for c in own[1:]], F.collect_list("v").alias("vs"), F.collect_list("main").alias("mains")))
+        each = members.select(*own, "vs", F.explode(F.arrays_zip(F.col("vs").alias("v"), F.col("mains").alias("main"))).alias("list"))
+        x = each.where("comp <> list.main").select(F.col("list.v").alias("v"), *[F.col(c).alias(f"x_{c}") for c in (*own, "vs")])
+        y = each.select(F.col("list.v").alias("v"), F.col("list.main").alias("main"), *[F.col(c).alias(f"y_{c}") for c in (*own, "vs")])
         once = (F.col("y_comp") == F.col("main")) | (F.col("x_cid") < F.col("y_cid"))
         may = once & (F.col("x_comp") != F.col("y_comp")) & self._close_sizes("x_n", "y_n")
         if "bits" in own:
             may = may & self._possible("x_", "y_")
+        met = F.array_intersect("x_vs", "y_vs")
         needed = F.greatest("x_share", "y_share") - F.least("x_common", "y_common")
-        return (
-            x.join(y, "v")
-            .where(may)
-            .groupBy(F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b"))
-            .agg(F.count("*").alias("met"), F.min(needed).alias("needed"))
-            .where("met >= needed")
-            .select("a", "b")
-        )
+        may = may & (F.size(met) >= needed) & (F.array_min(met) == F.col("v"))
+        return x.join(y, "v").where(may).select(F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b"))
 
     def _verify(self, pairs: DataFrame, reps: DataFrame, source: DataFrame, scratch: Scratch) -> DataFrame:
         """The pairs that reach the threshold on full sets."""
