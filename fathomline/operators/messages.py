@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fathomline.functions.text import strip
+from fathomline.sources.tables import Tables
 
 # The commands and their other spellings, the length of a message, the rows of a lane that are batched in one go, and the lines of a request file.
 HELP = ("/help", "help", "帮助", "?", "？")
@@ -64,10 +65,8 @@ def pack_batches(rows: DataFrame, budget: int, most: int) -> DataFrame:
     where a chain leaves them for each row it can enter at, and the entries met
     from a lane's first row are found by pointer doubling.
     """
-    from fathomline.llm.storage import Scratch
-
     spark = rows.sparkSession
-    scratch = Scratch(spark, "batches")
+    scratch = Tables(spark, "batches")
     # No batch has more rows than this, so a chain enters a stretch among its first ``reach`` rows and never skips one.
     reach = min(most, budget)
     stretch = max(STRETCH, reach)
@@ -75,12 +74,12 @@ def pack_batches(rows: DataFrame, budget: int, most: int) -> DataFrame:
 
     size = F.least(F.greatest(F.length(F.coalesce("text", F.lit(" "))), F.when(F.coalesce("text", F.lit("")) == "", 1).otherwise(0)), F.lit(budget))
     # Rows of one pos are told apart by ``row``; it is written, so that no later reading numbers them anew.
-    sized = scratch.save(rows.select("lane", "pos", size.cast("long").alias("size"), F.monotonically_increasing_id().alias("row")))
+    sized = scratch.write(rows.select("lane", "pos", size.cast("long").alias("size"), F.monotonically_increasing_id().alias("row")))
     by = ("lane", "pos", "size", "row")
     lots = sized.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).withColumn("lot", F.spark_partition_id())
     within = Window.partitionBy("lane", "lot").orderBy(*by[1:])
     counted = lots.select("lane", "pos", "size", "lot", (F.row_number().over(within) - 1).cast("long").alias("at"), (F.sum("size").over(within) - F.col("size")).alias("ahead"))
-    counted = scratch.save(counted)
+    counted = scratch.write(counted)
     # One row for each lot of a lane.
     totals = counted.groupBy("lane", "lot").agg(F.count("*").alias("n"), F.sum("size").alias("chars"))
     earlier = Window.partitionBy("lane").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,26 +87,26 @@ def pack_batches(rows: DataFrame, budget: int, most: int) -> DataFrame:
     totals = totals.select(F.col("lane").alias("t_lane"), F.col("lot").alias("t_lot"), before("n").alias("n"), before("chars").alias("chars"))
     joined = counted.join(totals, F.col("lane").eqNullSafe(F.col("t_lane")) & (F.col("lot") == F.col("t_lot")))
     at = F.col("at") + F.col("n")
-    placed = scratch.save(joined.select("lane", "pos", "size", at.alias("at"), (F.col("ahead") + F.col("chars")).alias("ahead"), F.floor(at / stretch).cast("long").alias("stretch")))
+    placed = scratch.write(joined.select("lane", "pos", "size", at.alias("at"), (F.col("ahead") + F.col("chars")).alias("ahead"), F.floor(at / stretch).cast("long").alias("stretch")))
     scratch.drop(sized, counted)
 
     # A stretch also sees the first rows of the next one, where its last batches end.
     last = (F.col("stretch") > 0) & (F.col("at") - F.col("stretch") * stretch < reach)
     seen = placed.select("lane", "size", "at", "ahead", F.explode(F.when(last, F.array("stretch", F.col("stretch") - 1)).otherwise(F.array("stretch"))).alias("stretch"))
     ways = T.StructType([T.StructField("lane", kinds["lane"]), *(T.StructField(c, T.LongType()) for c in ("node", "to", "n"))])
-    jumps = scratch.save(seen.groupBy("lane", "stretch").applyInArrow(_ways(budget, most, reach, stretch), ways))
+    jumps = scratch.write(seen.groupBy("lane", "stretch").applyInArrow(_ways(budget, most, reach, stretch), ways))
 
     # ``met`` holds the first 2^k entries of each lane's chain and ``jumps`` leads 2^k entries on, so what it adds is new.
-    met = scratch.save(jumps.where("node = 0").select("lane", "node", F.lit(0).cast("long").alias("before")))
+    met = scratch.write(jumps.where("node = 0").select("lane", "node", F.lit(0).cast("long").alias("before")))
     while True:
         step = jumps.select(F.col("lane").alias("j_lane"), F.col("node").alias("j_node"), "to", "n").where("to is not null")
         added = met.join(step, F.col("lane").eqNullSafe(F.col("j_lane")) & (F.col("node") == F.col("j_node")))
-        added = scratch.save(added.select("lane", F.col("to").alias("node"), (F.col("before") + F.col("n")).alias("before")))
+        added = scratch.write(added.select("lane", F.col("to").alias("node"), (F.col("before") + F.col("n")).alias("before")))
         if added.isEmpty():
             break
         more = jumps.where("to is not null").alias("a").join(step.alias("b"), F.col("a.lane").eqNullSafe(F.col("b.j_lane")) & (F.col("a.to") == F.col("b.j_node")))
-        further = scratch.save(more.select("a.lane", "a.node", F.col("b.to").alias("to"), (F.col("a.n") + F.col("b.n")).alias("n")))
-        longer = scratch.save(met.union(added))
+        further = scratch.write(more.select("a.lane", "a.node", F.col("b.to").alias("to"), (F.col("a.n") + F.col("b.n")).alias("n")))
+        longer = scratch.write(met.union(added))
         scratch.drop(jumps, met, added)
         jumps, met = further, longer
 

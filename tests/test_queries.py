@@ -1,10 +1,12 @@
 """Every registered query with SQL against DuckDB on the smallest tables; every other one runs and has rows."""
 
 import math
+from pathlib import Path
 
 import duckdb
 import pytest
 
+import fathomline
 from fathomline.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +32,9 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(duck.sql(ORACLES[name]).df())
     else:
         assert len(got)
+
+
+def test_the_training_data_operators_stand_apart():
+    root = Path(fathomline.__file__).parent
+    users = [p.name for p in root.rglob("*.py") if p.relative_to(root).parts[0] != "llm" and "fathomline.llm" in p.read_text()]
+    assert not users
