@@ -51,6 +51,12 @@ def lines(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def json_or(text: Column, schema: str, default: Column) -> Column:
+    """The struct that a JSON text holds, or the default where there is none that parses."""
+    said = F.from_json(text, f"{schema}, _malformed string", {"columnNameOfCorruptRecord": "_malformed"})
+    return F.when(text.isNull() | (F.trim(text) == "") | said["_malformed"].isNotNull(), default).otherwise(said.dropFields("_malformed"))
+
+
 def chapter_hint(text: Column) -> Column:
     """The first short line that looks like a chapter title, up to 48 characters; null without one."""
     short = F.filter(F.transform(lines(text), strip), lambda s: (F.length(s) > 0) & (F.length(s) <= 60) & s.rlike(CHAPTER))

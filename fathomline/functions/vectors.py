@@ -35,3 +35,13 @@ def truncate(x: Column, dim: int) -> Column:
     return F.when(F.size(x) >= dim, let(F.slice(x, 1, dim), normalize)).otherwise(
         F.raise_error(F.lit(f"cannot truncate to {dim} dimensions")).cast("array<double>")
     )
+
+
+def half(x: Column) -> Column:
+    """Every component at half precision: eleven significant bits, and no finer than 2^-24. Meant for components up to 1."""
+
+    def rounded(v: Column) -> Column:
+        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(v))), F.lit(-14)) - 10)
+        return F.when(v == 0, v).otherwise(F.rint(v / step) * step)
+
+    return F.transform(x, rounded)

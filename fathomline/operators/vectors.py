@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fathomline.functions.text import tokens
-from fathomline.functions.vectors import dot, normalize, truncate
+from fathomline.functions.vectors import dot, half as at_half, normalize, truncate
 
 from .lexical import DECIMALS
 
@@ -43,8 +43,10 @@ def normalized(store: DataFrame) -> DataFrame:
     return store.select("id", normalize(F.col("vec")).alias("vec"))
 
 
-def truncated(store: DataFrame, dim: int) -> DataFrame:
-    return store.select("id", truncate(F.col("vec"), dim).alias("vec"))
+def truncated(store: DataFrame, dim: int, half: bool = True) -> DataFrame:
+    """The first ``dim`` components at unit length, as floats of half precision unless told otherwise."""
+    cut = truncate(F.col("vec"), dim)
+    return store.select("id", (at_half(cut) if half else cut).cast("array<float>").alias("vec"))
 
 
 def topk(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -55,12 +57,12 @@ def topk(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     shuffled. Queries come in blocks of QUERY_BLOCK so that what is broadcast
     has a fixed size.
     """
-    asked = queries.select("qid", normalize(F.col("vec")).alias("vec"))
+    asked = queries.where("vec is not null").select("qid", normalize(F.col("vec")).alias("vec"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
     for at in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == at).toPandas()  # about QUERY_BLOCK rows
-        matrix = np.array(block["vec"].tolist(), np.float64).reshape(len(block), -1)
+        matrix = np.array(block["vec"].tolist(), np.float64).reshape(len(block), -1 if len(block) else 0)
         part = _block_topk(store, block["qid"].tolist(), matrix, k, dict(queries.dtypes)["qid"])
         found = part if found is None else found.union(part)
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("cos", DECIMALS)), F.asc("id"))

@@ -120,7 +120,12 @@ def q_hash_embed(spark, sf):
     return made.select(F.col("id").alias("doc_id"), F.posexplode("vec").alias("bucket", "w")).where("w > 0").select("doc_id", "bucket", six("w", "weight"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE s AS (SELECT source AS lane, doc_id AS pos, least(greatest(length(coalesce(text, '')), 1), 20000) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents), "
+    "w AS (SELECT lane, pos, nth, 0 AS batch, size AS chars, 1 AS held FROM s WHERE nth = 1 UNION ALL SELECT s.lane, s.pos, s.nth, CASE WHEN w.chars + s.size > 20000 OR w.held >= 16 THEN w.batch + 1 ELSE w.batch END, "
+    "CASE WHEN w.chars + s.size > 20000 OR w.held >= 16 THEN s.size ELSE w.chars + s.size END, CASE WHEN w.chars + s.size > 20000 OR w.held >= 16 THEN 1 ELSE w.held + 1 END FROM w JOIN s ON s.lane = w.lane AND s.nth = w.nth + 1) "
+    "SELECT lane, pos, CAST(batch AS INT) AS batch FROM w"
+)
 def q_subbatch_pack(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("source").alias("lane"), F.col("doc_id").alias("pos"), "text")
     return messages.pack_batches(docs, 20_000, 16)
@@ -190,10 +195,15 @@ def q_book_page_sections(spark, sf):
     return sections.page_sections(files(spark))
 
 
-@query("SELECT * FROM (VALUES (1, 'Chapter 12 The End'), (2, '第3章 开端'), (3, 'part iv of it'), (4, NULL), (5, NULL)) t(k, hint)")
+_HINTS = [(1, "intro\n  Chapter 12 The End \nbody"), (2, "x\n第3章 开端\n"), (3, "part iv of it"), (4, "see Chapter 3 there"), (5, ""), (6, "Part Two\nChapter 9"), (7, "Chapter 1 " + "of a long line " * 5)]
+
+
+@query(
+    f"WITH {X.values(_HINTS, 'h', 'k, t')}, l AS (SELECT k, trim(unnest(string_split(t, {_NL}))) AS s, generate_subscripts(string_split(t, {_NL}), 1) AS n FROM h) "
+    f"SELECT k, arg_min(substr(s, 1, 48), n) FILTER (length(s) BETWEEN 1 AND 60 AND regexp_matches(s, '{text.CHAPTER}')) AS hint FROM l GROUP BY k"
+)
 def q_chapter_hint(spark, sf):
-    rows = [(1, "intro\n  Chapter 12 The End \nbody"), (2, "x\n第3章 开端\n"), (3, "part iv of it"), (4, "see Chapter 3 there"), (5, "")]
-    return X.frame(spark, rows, "k int, t string").select("k", text.chapter_hint(F.col("t")).alias("hint"))
+    return X.frame(spark, _HINTS, "k int, t string").select("k", text.chapter_hint(F.col("t")).alias("hint"))
 
 
 @query(
@@ -229,7 +239,19 @@ def q_clip_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.clip(F.col("text"), 700).alias("shown"))
 
 
-@query()
+_BREAK = "chr(10) || chr(10)"
+_FITS = f"length(CASE WHEN w.buf = '' THEN p.para ELSE w.buf || {_BREAK} || p.para END) <= 1500"
+_FULL = "CAST(greatest(ceil(length(p.para) / 1500.0) - 1, 0) AS INT)"
+
+
+@query(
+    f"WITH RECURSIVE d AS (SELECT doc_id, replace(text, chr(10), {_BREAK}) AS t FROM documents), "
+    f"p AS MATERIALIZED (SELECT doc_id, unnest(string_split(t, {_BREAK})) AS para, generate_subscripts(string_split(t, {_BREAK}), 1) AS n FROM d WHERE length(t) > 1500), "
+    f"w AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, [''] AS outs, '' AS buf FROM p UNION ALL SELECT p.doc_id, p.n, CASE WHEN {_FITS} THEN [] ELSE list_concat([w.buf], list_transform(range(0, {_FULL}), lambda i: substr(p.para, CAST(i * 1500 + 1 AS INT), 1500))) END, "
+    f"CASE WHEN {_FITS} THEN CASE WHEN w.buf = '' THEN p.para ELSE w.buf || {_BREAK} || p.para END ELSE substr(p.para, {_FULL} * 1500 + 1, 1500) END FROM w JOIN p ON p.doc_id = w.doc_id AND p.n = w.n + 1), "
+    "pieces AS (SELECT doc_id, n, unnest(outs) AS body, generate_subscripts(outs, 1) AS i FROM w UNION ALL SELECT doc_id, max(n) + 1, arg_max(buf, n), 1 FROM w GROUP BY doc_id) "
+    "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, i) - 1 AS INT) AS part, body FROM pieces WHERE body <> '' UNION ALL SELECT doc_id, 0, t FROM d WHERE length(t) <= 1500"
+)
 def q_split_message(spark, sf):
     parts = table(spark, sf, "documents").select("doc_id", F.posexplode(messages.split_message(F.regexp_replace("text", "\n", "\n\n"))).alias("part", "body"))
     return parts.select("doc_id", "part", "body")
@@ -256,10 +278,13 @@ def q_vector_normalize(spark, sf):
     return rows.select("id", rounded("vec"))
 
 
-@query(f"WITH {O.STORE}, c AS (SELECT id, vec[1:16] AS vec FROM store) SELECT id, len(vec) AS dim, round(CAST(vec[1] AS DOUBLE) / {O.length('vec')}, 6) AS first FROM c")
+_CUT = f"list_transform(vec[1:16], lambda x: CAST(x AS DOUBLE) / {O.length('vec[1:16]')})"
+_STEP = "pow(2.0, greatest(floor(log2(abs(x))), -14) - 10)"
+
+
+@query(f"WITH {O.STORE}, c AS (SELECT id, {_CUT} AS vec FROM store), h AS (SELECT id, list_transform(vec, lambda x: CASE WHEN x = 0 THEN x ELSE round_even(x / {_STEP}, 0) * {_STEP} END) AS vec FROM c) SELECT id, {O.rounded('vec')} AS vec FROM h")
 def q_vector_truncate(spark, sf):
-    rows = store_ops.truncated(embedding_store(spark, sf), 16)
-    return rows.select("id", F.size("vec").cast("long").alias("dim"), six(F.element_at("vec", 1), "first"))
+    return store_ops.truncated(embedding_store(spark, sf), 16).select("id", rounded("vec"))
 
 
 def _vector_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -581,10 +606,20 @@ def q_eval_misses(spark, sf):
     return evaluate.misses(_golden_ranks(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('ferries', 'zh', 'book', 1), ('nets', 'en', 'other', 2), ('talks', 'en', 'course', 0), ('nothing', 'en', 'data', 0)) t(q, lang, kind, r)")
+_ASKED = [(1, "ferries"), (2, "nets"), (3, "talks"), (4, "nothing")]
+_SAID = {c: f"json_extract_string(e, '$.{c}')" for c in ("kind", "course", "section_contains")}
+
+
+@query(
+    f"WITH {X.values(X.GOLDEN, 'g', 'line')}, {X.values(X.HITS, 'h', 'qid, rank, kind, course, section')}, {X.values(_ASKED, 'n', 'qid, q')}, "
+    "o AS (SELECT qid, q, json_extract_string(line, '$.lang') AS lang, CASE WHEN json_type(line, '$.expect') = 'ARRAY' THEN json_extract(line, '$.expect[*]') ELSE [json_extract(line, '$.expect')] END AS es FROM g JOIN n ON q = json_extract_string(line, '$.q')), "
+    f"x AS (SELECT qid, unnest(es) AS e FROM o), m AS (SELECT qid, min(rank) + 1 AS r FROM x JOIN h USING (qid) WHERE ({_SAID['kind']} IS NULL OR {_SAID['kind']} = kind) AND ({_SAID['course']} IS NULL OR contains(lower(course), lower({_SAID['course']}))) "
+    f"AND ({_SAID['section_contains']} IS NULL OR contains(section, {_SAID['section_contains']})) AND coalesce({_SAID['course']}, {_SAID['section_contains']}) IS NOT NULL GROUP BY qid) "
+    "SELECT q, lang, coalesce(json_extract_string(es[1], '$.kind'), 'other') AS kind, CAST(coalesce(r, 0) AS INT) AS r FROM o LEFT JOIN m USING (qid)"
+)
 def q_golden_match(spark, sf):
     rows = golden(X.frame(spark, X.GOLDEN, "value string"))
-    numbers = X.frame(spark, [(1, "ferries"), (2, "nets"), (3, "talks"), (4, "nothing")], "n int, q string")
+    numbers = X.frame(spark, _ASKED, "n int, q string")
     numbered = rows.join(numbers, "q").select(F.col("n").alias("qid"), "q", "lang", "expect")
     hits = X.frame(spark, X.HITS, "qid int, rank int, kind string, course string, section string")
     found = evaluate.first_ranks(numbered, hits).join(numbered.select("qid", "q"), "qid")
@@ -606,16 +641,36 @@ def q_teach_section(spark, sf):
     return agent.teach_section(index_of(spark, sf), benchmark_queries(spark, sf), "src3").select("qid", "section", "n_chunks", six("coverage"), "low")
 
 
+# Questions of three kinds: plain ones, ones that name a course, and ones that name a course and ask for what no text has.
+_LOOP = "SELECT item_id AS qid, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN 'src' || item_id % 7 || ' ' || text ELSE 'src' || item_id % 7 || ' ' || substr(text, 1, 40) || repeat(' quux0 quux1 quux2 quux3 quux4 quux5 quux6 quux7 quux8 quux9 quux10 quux11', 1) END AS q FROM benchmark"
+_PLANNED = (
+    f"WITH asked AS ({_LOOP}), named AS (SELECT course, row_number() OVER (ORDER BY count(*) DESC, min(\"order\")) AS place FROM chunks GROUP BY course), said AS (SELECT qid, unnest(regexp_split_to_array(lower(q), '\\s+')) AS word FROM asked), "
+    "picked AS (SELECT qid, arg_min(course, place) AS wish FROM said JOIN named ON length(word) > 2 AND contains(lower(course), word) GROUP BY qid) SELECT qid, q, wish FROM asked LEFT JOIN picked USING (qid)"
+)
+_TOPS = "coalesce(max(round(coverage, 2)) FILTER (rank = 0), 0) AS {0}, count(h.id) AS {1} FROM queries q LEFT JOIN hits h USING (qid) GROUP BY ALL"
+_WISHED = "contains(lower(course), coalesce((SELECT lower(x.wish) FROM queries x WHERE x.qid = terms.qid), ''))"
+
+
 @query(
-    f"WITH {O.lexical(O.BENCHMARK, k=24)}, top AS (SELECT q.qid, coalesce(max(round(coverage, 2)) FILTER (rank = 0), 0) AS coverage, count(h.id) AS found FROM queries q LEFT JOIN hits h USING (qid) GROUP BY q.qid) "
-    "SELECT qid, CASE WHEN coverage >= 0.55 OR found = 0 THEN 1 ELSE 3 END AS rounds, round(coverage, 2) AS coverage, CASE WHEN coverage >= 0.55 OR found = 0 THEN least(found, 8) ELSE least(found, 24) END AS n_hits, found = 0 AS blocked FROM top"
+    f"WITH bound AS (WITH {O.lexical(_PLANNED, _WISHED, k=24)} SELECT q.qid, q.wish, {_TOPS.format('c1', 'f1')}), free AS (WITH {O.lexical(_PLANNED, k=24)} SELECT q.qid, {_TOPS.format('c2', 'f2')}), "
+    "r AS (SELECT *, CASE WHEN c1 >= 0.55 OR f1 = 0 THEN 1 WHEN wish IS NOT NULL AND (c2 >= 0.55 OR f2 = 0) THEN 2 ELSE 3 END AS rounds FROM bound JOIN free USING (qid)) "
+    "SELECT qid, wish AS course, rounds, CASE WHEN rounds = 1 THEN c1 ELSE c2 END AS coverage, CASE WHEN rounds = 1 THEN least(f1, 8) WHEN rounds = 2 THEN least(f2, 8) WHEN wish IS NOT NULL THEN least(f2, 16) ELSE least(f2, 24) END AS n_hits, "
+    "CASE WHEN rounds = 1 THEN f1 ELSE f2 END = 0 AS blocked FROM r"
 )
 def q_agent_search_loop(spark, sf):
-    planned = benchmark_queries(spark, sf).withColumn("course", F.lit(None).cast("string"))
-    return agent.search_rounds(index_of(spark, sf), planned)
+    index = index_of(spark, sf)
+    src = F.concat(F.lit("src"), (F.col("item_id") % 7).cast("string"), F.lit(" "))
+    unknown = F.lit("".join(f" quux{i}" for i in range(12)))
+    q = F.when(F.col("item_id") % 3 == 0, F.col("text")).when(F.col("item_id") % 3 == 1, F.concat(src, "text")).otherwise(F.concat(src, F.substring("text", 1, 40), unknown))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), q.alias("q"))
+    courses = index.chunks.groupBy("course").agg(F.struct((-F.count("*")).alias("less"), F.min("order").alias("first")).alias("place"))
+    planned = agent.plan_courses(asked, courses)
+    return agent.search_rounds(index, planned).join(planned.select("qid", "course"), "qid")
 
 
-@query()
+@query(
+    f"WITH {O.lexical(O.BENCHMARK)} SELECT qid, string_agg('· ' || substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 180) || '… ⟨' || course || '·' || section || '⟩', {_NL} ORDER BY rank) AS answer FROM hits JOIN chunks USING (id) WHERE rank < 4 GROUP BY qid"
+)
 def q_agent_draft(spark, sf):
     index = index_of(spark, sf)
     return agent.draft(search_lexical(index, benchmark_queries(spark, sf)), index.chunks)
