@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.ml.functions import array_to_vector
 
 import corpus_pipeline
@@ -377,3 +378,79 @@ def test_secrets_that_are_unquoted_short_or_of_letters(spark):
     clean = {c.doc_id: c.text for c in scanner.redact(table, model).collect()}
     assert all(clean[i].count("[REDACTED:") == 1 and c not in clean[i] for i, (_, c) in secrets.items())
     assert clean[1] == "see api_key=[REDACTED:generic] there" and {i: clean[i] for i in plain} == plain
+
+
+def test_pipeline_stages_against_plain_python(spark):
+    """Every stage's rows from a plain version of it, over odd rows and columns whose names clash with the operators' own."""
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    clash = ["score", "kept", "component_id", "id", "print", "x", "d", "predicted"]
+    odd = [(10**6 + 1, None), (10**6 + 2, ""), (None, "a text without an id, kept. " * 9), (10**6 + 3, "Long tale goes on here. " * 20_000), (10**6 + 4, "Of one kind, told twice over in the same words."), (10**6 + 5, "Of one kind, told twice over in the same words.")]
+    extra = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in odd], table.schema)
+    stage = table.union(extra).select("*", *[F.lit(7.5).alias(c) for c in clash])
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+
+    def passed(name, docs_):
+        out = Scratch(spark, "t").save(steps[name](spark, docs_, sf))
+        assert out.columns == docs_.columns
+        return out, sorted((r.doc_id is None, r.doc_id, r.text or "") for r in out.collect())
+
+    def plain(rows):
+        return sorted((r["doc_id"] is None, r["doc_id"], r["text"] or "") for r in rows)
+
+    for name, made in (("quality", QualityClassifier), ("toxicity", ToxicityClassifier)):
+        c = made()
+        judged = c.score(stage, c.fit(stage, labels)).select("doc_id", "predicted").distinct().collect()
+        good = {r.doc_id for r in judged if r.predicted == (name == "quality")}
+        want = plain([r for r in stage.collect() if r.doc_id in good])
+        stage, got = passed(name, stage)
+        assert got == want and 100 < len(got) < stage.sparkSession.read.parquet(f"{sf}/documents.parquet").count() + len(odd)
+
+    stage = stage.union(extra.where("doc_id > 1000003 or doc_id is null").select(*table.columns, *[F.lit(7.5) for _ in clash]).join(stage.select("doc_id"), "doc_id", "left_anti"))
+    rows = stage.collect()
+    sets = {r.doc_id: shingles(r.text) for r in rows if r.doc_id is not None}
+    comp = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+            comp = {k: new if v == old else v for k, v in comp.items()}
+    want = plain([r for r in rows if r.doc_id is None or comp[r.doc_id] == r.doc_id])
+    stage, got = passed("near_duplicates", stage)
+    assert got == want and len(got) < len(rows)
+
+    found = {}
+    for f in SecretScanner().scan(stage).where("is_secret").collect():
+        found.setdefault(f.doc_id, set()).add((f.start, f.end, f.kind))
+    before = stage.collect()
+
+    def hidden(text, spans):
+        whole = []
+        for a, z, kind in sorted(spans):
+            if whole and a < whole[-1][1]:
+                whole[-1] = (whole[-1][0], max(z, whole[-1][1]), whole[-1][2])
+            else:
+                whole.append((a, z, kind))
+        for a, z, kind in reversed(whole):
+            text = f"{text[:a]}[REDACTED:{kind}]{text[z:]}"
+        return text
+
+    want = plain([{"doc_id": r.doc_id, "text": hidden(r.text, found.get(r.doc_id, ())) if r.text else r.text} for r in before])
+    stage, got = passed("secrets", stage)
+    assert got == want
+
+    tk = Tokenizer.from_file(byte_bpe_path())
+    sizes = sorted(len(tk.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in stage.collect())
+    packed = steps["packing"](spark, stage, sf).collect()
+    whole, sequences = {}, {}
+    for g in packed:
+        # Rows without an id are of one piece each.
+        whole.setdefault((g.sequence_id, g.offset) if g.doc_id is None else g.doc_id, []).append(g.length)
+        sequences.setdefault(g.sequence_id, []).append((g.offset, g.length))
+    assert sorted(sum(v) for v in whole.values()) == sizes
+    for pieces in sequences.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))] and sum(n for _, n in pieces) <= 2048
+    assert -(-sum(sizes) // 2048) <= len(sequences)
