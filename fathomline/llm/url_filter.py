@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 
 from .storage import Scratch
 
-#: Symbols of the models: letters, any digit as 0, marks of URLs, ~ for all else and $ for the end. Number 0 stands before the start.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-_?=&%#:~$"
+#: Symbols of the models: letters, digits, marks of URLs, ~ for all else and $ for the end. Number 0 stands before the start.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-_?=&%#:~$"
 V = len(ALPHABET) + 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Scores are calibrated in steps of this size, between -RANGE and RANGE steps.
@@ -72,8 +72,8 @@ class UrlFilter:
             rule, verdict = F.when(fits, F.lit(on + begin)).otherwise(rule), F.when(fits, F.lit(said)).otherwise(verdict)
         start = F.instr("url", "://")
         text = F.when(start > 0, F.substring(F.col("url"), start + 3, F.length("url"))).otherwise(F.lit(""))
-        text = F.translate(F.coalesce(text, F.lit("")), UPPER + "123456789", LOWER + "0" * 9)
-        text = F.concat(F.regexp_replace(text, r"[^a-z0./\-_?=&%#:]", "~"), F.lit("$"))
+        text = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+        text = F.concat(F.regexp_replace(text, r"[^a-z0-9./\-_?=&%#:]", "~"), F.lit("$"))
         return rows.withColumns({"rule": rule, "said": verdict, "symbols": text})
 
     @staticmethod
