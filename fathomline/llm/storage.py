@@ -48,8 +48,11 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             self._held = [t for t in self._held if t is not table]
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.delete(table._scratch_path)
+
+    def delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def keep(self, *tables: DataFrame) -> None:
         """Drops every table but these."""
