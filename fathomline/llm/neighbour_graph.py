@@ -293,6 +293,8 @@ class NeighbourGraph:
         nodes = scratch.save(nodes)
         shards = max(1, math.ceil(nodes.count() / self.shard_rows))
         placed = nodes.select(F.pmod(F.col("mark"), F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("dim"), "v", "ids")
+        # Ranges of shard numbers: a task for each shard, however small the rows are.
+        placed = placed.repartitionByRange(shards, "shard")
         graphs = scratch.save(placed.groupBy("shard", "dim").applyInArrow(_builder(self.m, self.building), _GRAPH))
         scratch.drop(rows, nodes)
         return graphs
@@ -301,12 +303,13 @@ class NeighbourGraph:
         spark = vectors.sparkSession
         scratch = Scratch(spark, "neighbour-graph")
         graphs = self.index(vectors, scratch, id_col, vec_col) if graphs is None else graphs
+        shards = max(1, graphs.count())
         asked = scratch.save(self._usable(queries, id_col, vec_col).distinct())
         blocks = max(1, math.ceil(asked.count() / self.query_block))
         parts = []
         for block in range(blocks):
             sent = self._sent(asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == block))
-            found = graphs.repartition(max(1, graphs.count()), "shard").mapInArrow(_answered(sent, self.k, self.wide), "query_id long, vec_id long, score double")
+            found = graphs.repartitionByRange(shards, "shard").mapInArrow(_answered(sent, self.k, self.wide), "query_id long, vec_id long, score double")
             parts.append(scratch.save(found))
             sent.destroy()
         found = parts[0]
