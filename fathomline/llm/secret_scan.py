@@ -2,11 +2,15 @@
 
 Candidates are the runs of at least ``least`` key characters, split at the ``=``
 behind a name and once more at path parts; shorter runs of a known format; and
-whatever a secret word announces by ``=`` or ``:``, from ``short`` characters. A
-forest, trained from the findings of the same scan over labelled examples,
-judges each by its length, its transitions between character classes, how much
-of it dictionary words cover, the path it was found under and the words around
-it. Findings carry their spans, so texts can be redacted.
+whatever a secret word announces by ``=`` or ``:``, from ``short`` characters.
+Runs of letters in the case of words (small, capitalised, capitals, or such
+parts side by side) are candidates only if something announces them: whatever
+their length, they are words. A forest, trained from the findings of the same
+scan over labelled examples, judges each candidate by its length, its
+transitions between character classes, how much of it dictionary words cover,
+the path it was found under and the words around it. The dictionary is the
+corpus's own: its letter words that most documents hold. Findings carry their
+spans, so texts can be redacted.
 """
 
 from __future__ import annotations
@@ -15,7 +19,9 @@ import math
 import random
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -63,7 +69,14 @@ _FORMAT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
 _UUID = re.compile(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _WORD = re.compile(r"[A-Za-z_-]+[0-9]*")
 _SECRET, _OTHER, _EXAMPLE, _DICTIONARY = (frozenset(x.split()) for x in (SECRET_WORDS, OTHER_WORDS, EXAMPLE_PATHS, DICTIONARY))
-_LONGEST = max(map(len, _DICTIONARY))
+#: The longest words that count as dictionary words.
+_LONGEST = 24
+#: Bytes of ASCII letters in small, all others as blanks.
+_LETTERS = bytes(b | 0x20 if chr(b & 0x7F).isalpha() and b < 0x80 else 0x20 for b in range(256))
+#: Distinct words that a counting task holds before it passes their counts on.
+_HELD_WORDS = 1 << 18
+#: Letters in the case of words, with marks between the parts.
+_WORDS_ONLY = re.compile(r"[A-Z]*[a-z]*(?:[-_./+~=]*(?:[A-Z][a-z]{2,}|[A-Z]{2,}|(?<![A-Za-z])[A-Za-z]?[a-z]*))*")
 #: The characters of the shortest known format.
 _SHORTEST_FORMAT = 15
 _KEYS = "A-Za-z0-9_+/=.~-"
@@ -85,7 +98,8 @@ def spans(text: str, least: int, short: int) -> list[tuple[int, int]]:
     def take(a: int, b: int) -> None:
         while b > a and text[b - 1] in ".-_":
             b -= 1
-        if (b - a >= least or b - a >= _SHORTEST_FORMAT and _FORMAT.search(text, a, b)) and any(c.isalnum() for c in text[a:b]):
+        known = b - a >= _SHORTEST_FORMAT and _FORMAT.search(text, a, b)
+        if (known or b - a >= least and not _WORDS_ONLY.fullmatch(text, a, b)) and any(c.isalnum() for c in text[a:b]):
             found.add((a, b))
 
     for m in _runs(min(least, _SHORTEST_FORMAT)).finditer(text):
@@ -115,12 +129,12 @@ def _runs(least: int) -> re.Pattern:
     return re.compile(f"(?<![{_KEYS}])[{_KEYS}]{{{least},}}")
 
 
-def _covered(candidate: str) -> float:
+def _covered(candidate: str, words: frozenset[str]) -> float:
     """The share of the candidate's characters that dictionary words of four letters or more cover, longest first from the left."""
     text, at, covered = candidate.lower(), 0, 0
     while at < len(text):
         for k in range(min(_LONGEST, len(text) - at), 3, -1):
-            if text[at : at + k] in _DICTIONARY:
+            if text[at : at + k] in words:
                 covered += k
                 at += k
                 break
@@ -129,7 +143,7 @@ def _covered(candidate: str) -> float:
     return covered / len(text)
 
 
-def measure(candidate: str, before: str, after: str, path: str) -> list[float]:
+def measure(candidate: str, before: str, after: str, path: str, words: frozenset[str] = _DICTIONARY) -> list[float]:
     """FEATURES of one candidate; ``before`` and ``after`` are the text around it."""
     n = len(candidate)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "m" for c in candidate]
@@ -148,7 +162,7 @@ def measure(candidate: str, before: str, after: str, path: str) -> list[float]:
         float(all(c in "0123456789abcdefABCDEF" for c in candidate)),
         max((len(x) for x in re.findall("[A-Za-z]+", candidate)), default=0) / n,
         len(counts) / n,
-        _covered(candidate),
+        _covered(candidate, words),
         float(any(p in _EXAMPLE for p in re.split(r"[^a-z]+", path.lower()))),
         float(any(w in _SECRET for w in near)),
         float(any(p in _SECRET for p in parts)),
@@ -163,8 +177,27 @@ def measure(candidate: str, before: str, after: str, path: str) -> list[float]:
     ]
 
 
-def _scanner(least: int, short: int, around: int):
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Letter words and the number of texts that hold them; a word may come several times."""
+    counts: Counter = Counter()
+
+    def passed_on() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        counts.clear()
+        return batch
+
+    for whole in batches:
+        for batch in B.passes(whole, "text"):
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                counts.update({w for w in (text or b"").translate(_LETTERS).split() if 4 <= len(w) <= _LONGEST})
+            if len(counts) > _HELD_WORDS:
+                yield passed_on()
+    yield passed_on()
+
+
+def _scanner(least: int, short: int, around: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dictionary = sent.value
         for whole in batches:
             for batch in B.passes(whole, "text"):
                 rows: list[tuple] = []
@@ -175,7 +208,7 @@ def _scanner(least: int, short: int, around: int):
                     for a, b in spans(text, least, short):
                         word, before, after = text[a:b], text[max(0, a - around) : a], text[b : b + 16]
                         known = _FORMAT.search(word)
-                        rows.append((doc_id, mark, a, b, known.lastgroup if known else "generic", word, measure(word, before, after, path or "")))
+                        rows.append((doc_id, mark, a, b, known.lastgroup if known else "generic", word, measure(word, before, after, path or "", dictionary)))
                 columns = list(zip(*rows)) or [[]] * 7
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "print", "start", "end", "kind", "candidate", "x"])
@@ -183,9 +216,15 @@ def _scanner(least: int, short: int, around: int):
     return run
 
 
-def example_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
-    """Labelled findings ``(candidate, before, after, path, is_secret)`` of the usual true and false kinds."""
+def example_findings(n: int = 4000, seed: int = 11, words: tuple[str, ...] = ()) -> list[tuple[str, str, str, str, int]]:
+    """Labelled findings ``(candidate, before, after, path, is_secret)`` of the usual true and false kinds.
+
+    Words of the language are drawn from ``words`` too, alone and side by side,
+    in small letters, capitalised and in capitals.
+    """
     r = random.Random(seed)
+    language = list(words) or DICTIONARY.split()
+    in_case = lambda w: r.choice([w, w, w.capitalize(), w.capitalize(), w.upper()])
     of = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     upper, hexa = lower.upper(), "0123456789abcdef"
@@ -238,9 +277,9 @@ def example_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str,
             body, before, path = of(hexa, 40), lead + 'token = "', r.choice(["tests/fixtures", "docs/examples", "sample/demo"])
             after = '"' + tail
         elif kind == 10:  # announced, but a word of the language or a name
-            body, before = r.choice([lambda: r.choice(words), lambda: r.choice(["true", "false", "null", "none", "required", "optional", "string", "changeme"]), lambda: "_".join(r.sample(words, 2)), lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 4)))])(), lead + r.choice(["token: ", "password: ", "key: ", "key = ", "secret: ", "auth: "])
+            body, before = r.choice([lambda: r.choice(words), lambda: r.choice(["true", "false", "null", "none", "required", "optional", "string", "changeme"]), lambda: "_".join(r.sample(words, 2)), lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 4))), *3 * [lambda: in_case("".join(r.choice(language) for _ in range(r.choice([1, 1, 2, 3]))))]])(), lead + r.choice(["token: ", "password: ", "key: ", "key = ", "secret: ", "auth: "])
         elif kind == 11:  # a long word
-            body, before = "".join(r.choice(syllables) for _ in range(r.randint(7, 10))), lead
+            body, before = in_case("".join(r.choice(syllables) for _ in range(r.randint(7, 10)))), lead
         elif kind == 12:  # other assignments
             body, before = r.choice([lambda: of(hexa, 40), lambda: "".join(r.choice(words) for _ in range(4)), lambda: "".join(r.sample(words, 2)) + of(digits, 12)])(), lead + r.choice(["commit=", "etag=", "name=", "file=", "id="])
         else:
@@ -249,11 +288,21 @@ def example_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str,
     return found
 
 
+@dataclass(frozen=True)
+class SecretModel:
+    """The forest and the dictionary that it was trained with."""
+
+    forest: RandomForestClassificationModel
+    words: frozenset[str]
+
+
 class SecretScanner:
     """Finds, judges and redacts secrets.
 
-    ``fit`` trains the forest from labelled findings (by default the usual true
-    and false kinds). ``scan`` returns ``doc_id, start, end, kind, candidate,
+    ``lexicon`` counts the corpus's letter words over all texts and returns the
+    ``dictionary`` ones that most documents hold. ``fit`` trains the forest from
+    labelled findings (by default the usual true and false kinds) with such
+    words; without a model ``scan`` and ``redact`` do both. ``scan`` returns ``doc_id, start, end, kind, candidate,
     score, is_secret`` for every candidate, spans in characters. ``redact``
     returns the documents with the secrets replaced and ``n_chars`` brought up
     to date where there is such a column.
@@ -265,42 +314,51 @@ class SecretScanner:
     keeps all other columns, whatever their names.
     """
 
-    def __init__(self, least: int = 16, around: int = 80, trees: int = 40, depth: int = 8, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", short: int = 4):
+    def __init__(self, least: int = 16, around: int = 80, trees: int = 40, depth: int = 8, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", short: int = 4, dictionary: int = 20_000):
+        self.dictionary = dictionary
         self.least, self.short, self.around, self.trees, self.depth, self.threshold = least, short, around, trees, depth, threshold
         self.id_col, self.text_col, self.path_col = id_col, text_col, path_col
 
-    def fit(self, spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | None = None) -> RandomForestClassificationModel:
-        told = findings if findings is not None else example_findings()
-        seen = [row for finding in told for row in self._seen(*finding)]
+    def lexicon(self, docs: DataFrame) -> list[str]:
+        """The letter words of 4 to 24 letters that most documents hold, at least five each; ``dictionary`` words at most reach the driver."""
+        counted = docs.select(F.col(self.text_col).cast("string").alias("text")).mapInArrow(_word_counts, "word string, n long")
+        most = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n >= 5").orderBy(F.desc("n"), "word").limit(self.dictionary)
+        return sorted(r.word for r in most.collect())
+
+    def fit(self, spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | None = None, words: list[str] | tuple[str, ...] = ()) -> SecretModel:
+        dictionary = _DICTIONARY | frozenset(words)
+        told = findings if findings is not None else example_findings(words=tuple(words))
+        seen = [row for finding in told for row in self._seen(dictionary, *finding)]
         rows = pa.table({"x": pa.array([x for x, _ in seen]), "label": pa.array([y for _, y in seen])})
         known = spark.createDataFrame(rows).select(array_to_vector("x").alias("features"), "label")
-        return RandomForestClassifier(numTrees=self.trees, maxDepth=self.depth, seed=3).fit(known)
+        return SecretModel(RandomForestClassifier(numTrees=self.trees, maxDepth=self.depth, seed=3).fit(known), dictionary)
 
-    def _seen(self, candidate: str, before: str, after: str, path: str, is_secret: int) -> list[tuple[list[float], float]]:
+    def _seen(self, words: frozenset[str], candidate: str, before: str, after: str, path: str, is_secret: int) -> list[tuple[list[float], float]]:
         """Features and labels of what the scan finds in an example's whole text; only spans that meet the candidate share its label."""
         text, start, end = before + candidate + after, len(before), len(before) + len(candidate)
         found = spans(text, self.least, self.short)
-        rows = [(measure(text[a:b], text[max(0, a - self.around) : a], text[b : b + 16], path), float(bool(is_secret) and a < end and b > start)) for a, b in found]
-        # A candidate that no scan meets keeps its label.
-        return rows if any(a < end and b > start for a, b in found) else [*rows, (measure(candidate, before, after, path), float(is_secret))]
+        rows = [(measure(text[a:b], text[max(0, a - self.around) : a], text[b : b + 16], path, words), float(bool(is_secret) and a < end and b > start)) for a, b in found]
+        # A secret that no scan meets keeps its label; words that are no candidates teach nothing.
+        return rows if not is_secret or any(a < end and b > start for a, b in found) else [*rows, (measure(candidate, before, after, path, words), 1.0)]
 
-    def _candidates(self, docs: DataFrame) -> DataFrame:
+    def _candidates(self, docs: DataFrame, words: frozenset[str]) -> DataFrame:
         path = F.col(self.path_col).cast("string") if self.path_col and self.path_col in docs.columns else F.lit("")
         source = docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.xxhash64(self.text_col).alias("print"), path.alias("path"), F.col(self.text_col).cast("string").alias("text"))
         schema = "doc_id long, print long, start long, end long, kind string, candidate string, x array<double>"
-        return source.mapInArrow(_scanner(self.least, self.short, self.around), schema)
+        sent = docs.sparkSession.sparkContext.broadcast(words)
+        return source.mapInArrow(_scanner(self.least, self.short, self.around, sent), schema)
 
-    def _judged(self, docs: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
-        judged = model.transform(self._candidates(docs).withColumn("features", array_to_vector("x")))
+    def _judged(self, docs: DataFrame, model: SecretModel) -> DataFrame:
+        judged = model.forest.transform(self._candidates(docs, model.words).withColumn("features", array_to_vector("x")))
         return judged.withColumn("score", vector_to_array("probability")[1]).withColumn("is_secret", F.col("score") >= self.threshold)
 
-    def scan(self, docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
-        model = model or self.fit(docs.sparkSession)
+    def scan(self, docs: DataFrame, model: SecretModel | None = None) -> DataFrame:
+        model = model or self.fit(docs.sparkSession, words=self.lexicon(docs))
         return self._judged(docs, model).select("doc_id", "start", "end", "kind", "candidate", "score", "is_secret")
 
-    def redact(self, docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
+    def redact(self, docs: DataFrame, model: SecretModel | None = None) -> DataFrame:
         spark = docs.sparkSession
-        model = model or self.fit(spark)
+        model = model or self.fit(spark, words=self.lexicon(docs))
         scratch = Scratch(spark, "secrets")
         found = scratch.save(self._judged(docs, model).where("is_secret").select(F.col("doc_id").alias("f_id"), F.col("print").alias("f_print"), "start", "end", "kind")).distinct()
         # Spans that overlap are replaced as one: a new one begins where no earlier span reaches.
