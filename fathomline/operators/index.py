@@ -63,6 +63,10 @@ class Index:
     stats: DataFrame
     idf: DataFrame
 
+    def matching(self, known: DataFrame) -> DataFrame:
+        """Postings of known terms with their chunks' norms."""
+        return self.postings.join(known, "tok")
+
     @classmethod
     def build(cls, chunks: DataFrame) -> Index:
         """Tokenises the chunks, counts and writes."""

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import paths, text
-from fathomline.operators import catalog, evaluate, hybrid, messages, sections, verify
+from fathomline.operators import catalog, evaluate, hybrid, live_index, messages, sections, verify
 from fathomline.operators import vectors as store_ops
 from fathomline.operators.index import Index, corpus_stats, doc_freq, doc_lengths, idf_stats, postings, tfidf_norms
 from fathomline.operators.lexical import lexical_scores, query_terms, search_lexical
 from fathomline.schema import SearchConfig
 from fathomline.sources.files import golden
+from fathomline.sources.tables import Tables
+from fathomline.sources.versions import VectorStore
 
 from . import agent
 from . import fixtures as X
@@ -423,22 +425,77 @@ def q_course_match(spark, sf):
     return catalog.course_match(X.frame(spark, _WISHES, "qid int, q string"), courses)
 
 
+# ---- a corpus that changes ----
+
+# The state before: every 97th document isn't there yet, every 89th has another beginning, every 103rd is there twice.
+_BEFORE = (
+    "(SELECT source, CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 89 = 5 THEN 'an earlier wording, ' || text ELSE text END AS text FROM documents WHERE doc_id % 97 <> 3 "
+    "UNION ALL SELECT source, doc_id || '-old', text FROM documents WHERE doc_id % 103 = 7)"
+)
+
+
+def _state_before(spark: SparkSession, sf: str) -> DataFrame:
+    found = document_sections(spark, sf)
+    number = F.col("title").cast("long")
+    edited = F.when(number % 89 == 5, F.concat(F.lit("an earlier wording, "), "body")).otherwise(F.col("body"))
+    twice = found.where(number % 103 == 7).withColumn("rel", F.concat(F.lit("course/"), "course", F.lit("/"), "title", F.lit("-old.txt"))).withColumn("title", F.concat("title", F.lit("-old")))
+    return sections.chunks(found.where(number % 97 != 3).withColumn("body", edited).unionByName(twice))
+
+
+@query(
+    f"WITH now AS (WITH {O.CHUNKS} SELECT id, text FROM chunks), earlier AS (WITH {O.CHUNKS.replace('FROM documents', f'FROM {_BEFORE}')} SELECT id, text FROM chunks) "
+    "SELECT coalesce(w.id, i.id) AS id, CASE WHEN w.id IS NULL THEN 'added' WHEN i.id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM earlier w FULL JOIN now i ON w.id = i.id WHERE w.text IS DISTINCT FROM i.text"
+)
+def q_change_capture(spark, sf):
+    state = lambda rows: rows.select("id", live_index.fingerprint().alias("print"))
+    return live_index.changes(state(_state_before(spark, sf)), state(sections.chunks(document_sections(spark, sf))))
+
+
+@query(f"WITH {O.lexical(O.BENCHMARK)} SELECT qid, id, rank, round(rrf, 6) AS rrf, round(bm25, 6) AS bm25, round(tfidf, 6) AS tfidf, round(coverage, 6) AS coverage FROM hits")
+def q_index_update(spark, sf):
+    """Searches an index of the state before that was brought up to date; the SQL builds anew."""
+    live = live_index.LiveIndex(spark, f"{Tables(spark, 'live').root}/index")
+    live.update(_state_before(spark, sf))
+    live.sync(sections.chunks(document_sections(spark, sf)))
+    hits = search_lexical(live.snapshot(), benchmark_queries(spark, sf))
+    return hits.select("qid", "id", F.col("rank").cast("long").alias("rank"), six("rrf"), six("bm25"), six("tfidf"), six("coverage"))
+
+
+@query(
+    f"WITH {O.STORE}, later AS (SELECT id, list_reverse(vec) AS vec FROM store WHERE CAST(id AS BIGINT) % 5 = 0 OR CAST(id AS BIGINT) % 3 = 0), first AS (SELECT * FROM store WHERE CAST(id AS BIGINT) % 3 <> 0 AND CAST(id AS BIGINT) % 7 <> 0), "
+    f"kept AS (SELECT * FROM first UNION ALL SELECT * FROM later WHERE id NOT IN (SELECT id FROM first)), measured AS (SELECT id, vec, {O.length('vec')} AS l FROM kept WHERE vec IS NOT NULL), unit AS (SELECT id, list_transform(vec, lambda x: CAST(CAST(x AS DOUBLE) / l AS FLOAT)) AS vec FROM measured) SELECT id, {O.rounded('vec')} AS vec FROM unit"
+)
+def q_vector_versions(spark, sf):
+    """All vectors but every third go in, every seventh of them is taken out, then others come for ids that are there or not."""
+    rows, number = embedding_store(spark, sf), F.col("id").cast("long")
+    store = VectorStore(spark, f"{Tables(spark, 'live').root}/vectors")
+    store.upsert(rows.where(number % 3 != 0), ("query", 0))
+    store.remove(rows.where(number % 7 == 0), ("query", 1))
+    later = rows.where((number % 5 == 0) | (number % 3 == 0)).withColumn("vec", F.reverse("vec"))
+    store.upsert(later, ("query", 2))
+    store.upsert(rows, ("query", 2))  # replayed: changes nothing
+    return store.read().select("id", rounded("vec"))
+
+
 # ---- hybrid search ----
 
 _CVECTOR = (
     f"{_CHUNK_VECTORS.replace(O.CHUNKS + ', ', '')}, unit AS MATERIALIZED (SELECT id, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS v, {O.length('vec')} AS l FROM cvec), "
     "qvec AS (SELECT item_id AS qid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, vec_id FROM benchmark JOIN embeddings ON vec_id = item_id), "
     f"qunit AS (SELECT qid, v, {O.length('v')} AS l FROM qvec), cosines AS MATERIALIZED (SELECT qid, d.id, list_dot_product(q.v, d.v) / (q.l * d.l) AS cos FROM qunit q, unit d), "
-    "vall AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(cos, 9) DESC, id) - 1 AS rank FROM cosines)"
+    "vall AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(cos, 9) DESC, id) - 1 AS rank FROM cosines), "
+    # Ranks are made whole, then cut in a table of their own; greatest keeps the cut from moving into the window.
+    "vcut AS MATERIALIZED (SELECT * FROM vall WHERE greatest(rank, 0) < 120)"
 )
 
 
 def _hybrid_sql(lex_min: float, vec_min: float, w_vec: float, k: int = 8, pool: int = 32) -> str:
     return (
         f"{O.lexical(O.BENCHMARK, k=pool)}, {_CVECTOR}, lx AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS place FROM hits WHERE round(coverage, 2) >= {lex_min}), "
-        f"parts AS (SELECT qid, id, 1.0::DOUBLE / (60 + place) AS part, place AS lex, NULL AS vec, NULL AS cos FROM lx UNION ALL SELECT qid, id, {w_vec}::DOUBLE / (60 + rank), NULL, rank, cos FROM vall WHERE rank < {pool} AND cos >= {vec_min}), "
+        f"parts AS (SELECT qid, id, 1.0::DOUBLE / (60 + place) AS part, place AS lex, NULL AS vec, NULL AS cos FROM lx UNION ALL SELECT qid, id, {w_vec}::DOUBLE / (60 + rank), NULL, rank, cos FROM vcut WHERE rank < {pool} AND cos >= {vec_min}), "
         "summed AS (SELECT qid, id, sum(part) AS rrf, min(lex) AS lex, min(vec) AS vec, coalesce(max(cos), 0) AS cos FROM parts GROUP BY qid, id), "
-        f"fhits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, lex NULLS LAST, vec NULLS LAST) - 1 AS rank FROM summed) WHERE rank < {k}), "
+        "fused_all AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, lex NULLS LAST, vec NULLS LAST) - 1 AS rank FROM summed), "
+        f"fhits AS MATERIALIZED (SELECT * FROM fused_all WHERE greatest(rank, 0) < {k}), "
         "full_hits AS (SELECT f.qid, f.id, f.rank, f.rrf, f.cos, coalesce(b.coverage, 0) AS coverage FROM fhits f LEFT JOIN both_scores b USING (qid, id))"
     )
 
