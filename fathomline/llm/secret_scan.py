@@ -295,6 +295,10 @@ class SecretModel:
     forest: RandomForestClassificationModel
     words: frozenset[str]
 
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Judges rows that have ``features``, as the forest does."""
+        return self.forest.transform(rows)
+
 
 class SecretScanner:
     """Finds, judges and redacts secrets.
@@ -349,7 +353,7 @@ class SecretScanner:
         return source.mapInArrow(_scanner(self.least, self.short, self.around, sent), schema)
 
     def _judged(self, docs: DataFrame, model: SecretModel) -> DataFrame:
-        judged = model.forest.transform(self._candidates(docs, model.words).withColumn("features", array_to_vector("x")))
+        judged = model.transform(self._candidates(docs, model.words).withColumn("features", array_to_vector("x")))
         return judged.withColumn("score", vector_to_array("probability")[1]).withColumn("is_secret", F.col("score") >= self.threshold)
 
     def scan(self, docs: DataFrame, model: SecretModel | None = None) -> DataFrame:

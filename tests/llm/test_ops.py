@@ -363,6 +363,33 @@ def test_pipeline_stages(spark):
         assert f(spark, table.limit(0), sf).count() == 0
 
 
+def test_words_of_any_case_and_length_stay(spark):
+    prose = [
+        "ENTSCHULDIGUNGSSCHREIBEN AN ALLE", "Das Donaudampfschifffahrtsgesellschaftskapitän steht hier", "INTERNATIONALIZATION and Counterrevolutionaries", "anticonstitutionnellement et INTERGOUVERNEMENTALISATION",
+        "otorrinolaringologo y Desproporcionadamente", "Teachscherheitpf Dasschzukeitkeit Undschkeitschber", "a-well-known-mother-in-law-of-mine", "getUserAccountSettingsFromServer", "中文没有密钥ABCDEFGHIJKLMNOPQRSTU",
+    ]
+    scanner = SecretScanner()
+    table = docs(spark, [*enumerate(prose), (90, "x" * 50_000), (91, "word " * 40_000), (0, prose[0])])
+    assert not [f.candidate for f in scanner.scan(table).where("is_secret").collect()]
+    assert sorted(r.text for r in scanner.redact(table).collect()) == sorted(r.text for r in table.collect())
+
+
+def test_planted_keys_are_found_and_nothing_else(spark):
+    """Keys announced by the usual names in small letters and capitals, among commits, digests and long words: precision and recall are 1."""
+    r = random.Random(5)
+    rows, secret = [], set()
+    for i in range(300):
+        key = "".join(r.choices("0123456789abcdef", k=40))
+        if i % 3 == 0:
+            line = f'token = "{key}"' if i % 2 else f'TOKEN = "{key.upper()}"'
+            secret.add((i, key if i % 2 else key.upper()))
+        else:
+            line = [f"commit {key}", f"sha256:{key}", "Verantwortungsbewusstseinsbildung"][i % 3 - 1 if i % 2 else 2]
+        rows.append((i, f"some words of prose before it {line} and some after it"))
+    got = {(f.doc_id, f.candidate) for f in SecretScanner().scan(docs(spark, rows)).where("is_secret").collect()}
+    assert got == secret
+
+
 def test_secrets_that_are_unquoted_short_or_of_letters(spark):
     key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
     secrets = {
