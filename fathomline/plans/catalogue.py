@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import paths, text
-from fathomline.operators import catalog, evaluate, hybrid, live_index, messages, sections, verify
+from fathomline.operators import batch_fetch, catalog, evaluate, hybrid, live_index, messages, sections, sessions, verify
 from fathomline.operators import vectors as store_ops
 from fathomline.operators.index import Index, corpus_stats, doc_freq, doc_lengths, idf_stats, postings, tfidf_norms
 from fathomline.operators.lexical import lexical_scores, query_terms, search_lexical
@@ -18,6 +18,7 @@ from fathomline.sources.tables import Tables
 from fathomline.sources.versions import VectorStore
 
 from . import agent
+from . import derived as D
 from . import fixtures as X
 from . import oracles as O
 from .corpus import benchmark_queries, document_chunks, document_sections, embedding_store, index_of, table
@@ -50,18 +51,23 @@ def six(c: str | Column, name: str | None = None) -> Column:
 
 # ---- sources, sinks and ingestion ----
 
-_FILES = X.values(X.FILES, "files", "rel, text")
+_FILES = X.values(X.FILES, "shown", "rel, text") + f", files AS (SELECT * FROM shown UNION ALL {D.FILES})"
+_PATHS = X.values(X.PATHS, "shown", "rel") + f", p AS (SELECT * FROM shown UNION ALL {D.PATHS})"
 _NL = "chr(10)"
 _LINES = f"lined AS (SELECT rel, unnest(string_split(text, {_NL})) AS line, generate_subscripts(string_split(text, {_NL}), 1) AS n FROM files)"
 
 
-def files(spark: SparkSession) -> DataFrame:
-    return X.frame(spark, X.FILES, "rel string, text string")
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    return X.frame(spark, X.FILES, "rel string, text string").union(D.file_rows(spark, sf))
 
 
-@query(f"WITH {X.values(X.PATHS, 'p', 'rel')} SELECT rel FROM p WHERE regexp_matches(lower(rel), '[^/.][^/]*\\.(md|txt|vtt|srt)$') AND NOT starts_with(list_last(string_split(rel, '/')), '_')")
+def all_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return X.frame(spark, X.PATHS, "rel string").union(D.path_rows(spark, sf))
+
+
+@query(f"WITH {_PATHS} SELECT rel FROM p WHERE regexp_matches(lower(rel), '[^/.][^/]*\\.(md|txt|vtt|srt)$') AND NOT starts_with(list_last(string_split(rel, '/')), '_')")
 def q_scan_filter_files(spark, sf):
-    return X.frame(spark, X.PATHS, "rel string").where(paths.is_source_file(F.col("rel")))
+    return all_paths(spark, sf).where(paths.is_source_file(F.col("rel")))
 
 
 @query(f"WITH {O.CHUNKS} SELECT id, course, kind, layer, series, section, \"order\", text FROM chunks")
@@ -74,25 +80,35 @@ def q_scan_vectors(spark, sf):
     return embedding_store(spark, sf).select("id", rounded("vec"))
 
 
+_GOLDEN = X.values(X.GOLDEN, "shown", "line") + f", g AS (SELECT * FROM shown UNION ALL {D.GOLDEN})"
+
+
+def golden_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return golden(X.frame(spark, X.GOLDEN, "value string").union(D.golden_rows(spark, sf)))
+
+
 @query(
-    f"WITH {X.values(X.GOLDEN, 'g', 'line')}, o AS (SELECT json_extract_string(line, '$.q') AS q, json_extract_string(line, '$.lang') AS lang, json_extract(line, '$.expect') AS e FROM g) "
+    f"WITH {_GOLDEN}, o AS (SELECT json_extract_string(line, '$.q') AS q, json_extract_string(line, '$.lang') AS lang, json_extract(line, '$.expect') AS e FROM g) "
     "SELECT q, lang, CASE WHEN json_type(e) = 'ARRAY' THEN json_array_length(e) ELSE 1 END::INT AS n_expect, coalesce(json_extract_string(e, '$.kind'), json_extract_string(e, '$[0].kind')) AS kind FROM o"
 )
 def q_scan_golden(spark, sf):
-    rows = golden(X.frame(spark, X.GOLDEN, "value string"))
-    return rows.select("q", "lang", F.size("expect").alias("n_expect"), F.get("expect", F.lit(0))["kind"].alias("kind"))
+    return golden_lines(spark, sf).select("q", "lang", F.size("expect").alias("n_expect"), F.get("expect", F.lit(0))["kind"].alias("kind"))
 
 
 @query(
-    f"WITH {X.values(X.RESPONSES, 'r', 'line')}, o AS (SELECT json_extract_string(line, '$.custom_id') AS id, CAST(json_extract(line, '$.response.body.data[0].embedding') AS DOUBLE[]) AS vec FROM r "
-    "WHERE line <> '' AND json_extract_string(line, '$.error') IS NULL AND json_extract_string(line, '$.response.status_code') = '200') SELECT id, CAST(len(vec) AS INT) AS dim, list_sum(vec) AS total FROM o"
+    f"WITH {X.values(X.RESPONSES, 'shown', 'line')}, r AS (SELECT * FROM shown UNION ALL {D.RESPONSES}), o AS (SELECT json_extract_string(line, '$.custom_id') AS id, CAST(json_extract(line, '$.response.body.data[0].embedding') AS DOUBLE[]) AS vec FROM r "
+    "WHERE line <> '' AND json_extract_string(line, '$.error') IS NULL AND json_extract_string(line, '$.response.status_code') = '200') SELECT id, CAST(len(vec) AS INT) AS dim, round(list_sum(vec), 6) AS total FROM o"
 )
 def q_parse_batch_output(spark, sf):
-    found = messages.parse_responses(X.frame(spark, X.RESPONSES, "value string"))
-    return found.select("id", F.size("vec").alias("dim"), F.aggregate("vec", F.lit(0.0), lambda s, v: s + v).alias("total"))
+    found = messages.parse_responses(X.frame(spark, X.RESPONSES, "value string").union(D.response_rows(spark, sf)))
+    return found.select("id", F.size("vec").alias("dim"), six(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v), "total"))
+
+
+_PDF = X.values(X.PDF_PAGES, "shown", "pdf, page, t") + f", p AS (SELECT pdf, page, trim(coalesce(t, ''), {O._WS}) AS t FROM (SELECT * FROM shown UNION ALL {D.PDF_PAGES}))"
 
 
-_PDF = X.values(X.PDF_PAGES, "raw", "pdf, page, t") + ", p AS (SELECT pdf, page, trim(coalesce(t, '')) AS t FROM raw)"
+def pdf_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return X.frame(spark, X.PDF_PAGES, "pdf string, page int, text string").union(D.pdf_rows(spark, sf))
 
 
 @query(
@@ -100,12 +116,12 @@ _PDF = X.values(X.PDF_PAGES, "raw", "pdf, page, t") + ", p AS (SELECT pdf, page,
     "SELECT *, (CAST(text_pages AS DOUBLE) / pages < 0.6 OR chars < 500) AS needs_ocr FROM a"
 )
 def q_pdf_ocr_decision(spark, sf):
-    return messages.pdf_decision(X.frame(spark, X.PDF_PAGES, "pdf string, page int, text string"))
+    return messages.pdf_decision(pdf_pages(spark, sf))
 
 
 @query(f"WITH {_PDF} SELECT pdf, coalesce(string_agg('[p.' || page || ']' || {_NL} || t, {_NL} || {_NL} ORDER BY page) FILTER (length(t) > 0), '') AS text FROM p GROUP BY pdf")
 def q_pdf_page_join(spark, sf):
-    return messages.join_pages(X.frame(spark, X.PDF_PAGES, "pdf string, page int, text string"))
+    return messages.join_pages(pdf_pages(spark, sf))
 
 
 _BUCKET = "(('0x' || substr(md5(t), 31, 2))::INT % 64)"
@@ -179,41 +195,41 @@ _HEADED = f"{_FILES}, {_LINES}, h AS (SELECT * FROM lined WHERE rel IN (SELECT r
 
 @query(
     f"WITH {_HEADED}, m AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+') AS head, sum(CAST(regexp_matches(line, '^#{{1,6}}\\s+') AS INT)) OVER (PARTITION BY rel ORDER BY n) AS nth FROM h), "
-    f"b AS (SELECT rel, nth, max(CASE WHEN head THEN trim(regexp_extract(line, '^#{{1,6}}\\s+(.*)', 1)) END) AS title, trim(coalesce(string_agg(line, {_NL} ORDER BY n) FILTER (NOT head), ''), {O._WS}) AS body FROM m GROUP BY rel, nth) "
+    f"b AS (SELECT rel, nth, max(CASE WHEN head THEN trim(regexp_extract(line, '^#{{1,6}}\\s+(.*)', 1), {O._WS}) END) AS title, trim(coalesce(string_agg(line, {_NL} ORDER BY n) FILTER (NOT head), ''), {O._WS}) AS body FROM m GROUP BY rel, nth) "
     "SELECT rel, CAST(nth AS BIGINT) AS nth, title, body FROM b WHERE length(body) > 0"
 )
 def q_heading_sections(spark, sf):
-    return sections.heading_sections(files(spark)).select("rel", F.col("nth").cast("long").alias("nth"), "title", "body")
+    return sections.heading_sections(files(spark, sf)).select("rel", F.col("nth").cast("long").alias("nth"), "title", "body")
 
 
 _PAGED = (
-    f"{_FILES}, {_LINES}, marked AS (SELECT *, regexp_extract(line, '^[ \\t]*\\[p\\.(\\d+)\\][ \\t]*$', 1) AS pg FROM lined), counted AS (SELECT *, sum(CAST(pg <> '' AS INT)) OVER (PARTITION BY rel ORDER BY n) AS c FROM marked), "
-    f"grouped AS (SELECT rel, CAST((c - 1) // 8 AS INT) AS nth, min(CAST(nullif(pg, '') AS INT)) AS a, max(CAST(nullif(pg, '') AS INT)) AS b, trim(string_agg(line, {_NL} ORDER BY n), {O._WS}) AS body FROM counted WHERE c >= 1 GROUP BY ALL)"
+    f"{_FILES}, {_LINES}, marked AS (SELECT *, regexp_extract(line, '^[ \\t]*\\[p\\.(\\d+)\\][ \\t]*$', 1) AS pg FROM lined), counted AS (SELECT *, sum(CAST(pg <> '' AS INT)) OVER (PARTITION BY rel ORDER BY n) AS c, count(*) FILTER (pg <> '') OVER (PARTITION BY rel) AS marks, trim(line, {O._WS}) AS said FROM marked), "
+    f"grouped AS (SELECT rel, CAST((c - 1) // 8 AS INT) AS nth, min(CAST(nullif(pg, '') AS INT)) AS a, max(CAST(nullif(pg, '') AS INT)) AS b, trim(string_agg(line, {_NL} ORDER BY n), {O._WS}) AS body, arg_min(substr(said, 1, 48), n) FILTER (length(said) BETWEEN 1 AND 60 AND regexp_matches(said, '{text.CHAPTER}')) AS hint FROM counted WHERE c >= 1 AND marks >= 2 GROUP BY ALL)"
 )
 
 
-@query(f"WITH {_PAGED} SELECT rel, nth, 'p.' || a || CASE WHEN a <> b THEN '-' || b ELSE '' END || CASE WHEN nth = 1 THEN ' · Chapter 1 Start' ELSE '' END AS title, body FROM grouped WHERE length(body) >= 40")
+@query(f"WITH {_PAGED} SELECT rel, nth, 'p.' || a || CASE WHEN a <> b THEN '-' || b ELSE '' END || coalesce(' · ' || hint, '') AS title, body FROM grouped WHERE length(body) >= 40")
 def q_book_page_sections(spark, sf):
-    return sections.page_sections(files(spark))
+    return sections.page_sections(files(spark, sf))
 
 
 _HINTS = [(1, "intro\n  Chapter 12 The End \nbody"), (2, "x\n第3章 开端\n"), (3, "part iv of it"), (4, "see Chapter 3 there"), (5, ""), (6, "Part Two\nChapter 9"), (7, "Chapter 1 " + "of a long line " * 5)]
 
 
 @query(
-    f"WITH {X.values(_HINTS, 'h', 'k, t')}, l AS (SELECT k, trim(unnest(string_split(t, {_NL}))) AS s, generate_subscripts(string_split(t, {_NL}), 1) AS n FROM h) "
+    f"WITH {X.values(_HINTS, 'shown', 'k, t')}, h AS (SELECT * FROM shown UNION ALL {D.TITLED}), l AS (SELECT k, trim(unnest(string_split(t, {_NL})), {O._WS}) AS s, generate_subscripts(string_split(t, {_NL}), 1) AS n FROM h) "
     f"SELECT k, arg_min(substr(s, 1, 48), n) FILTER (length(s) BETWEEN 1 AND 60 AND regexp_matches(s, '{text.CHAPTER}')) AS hint FROM l GROUP BY k"
 )
 def q_chapter_hint(spark, sf):
-    return X.frame(spark, _HINTS, "k int, t string").select("k", text.chapter_hint(F.col("t")).alias("hint"))
+    return X.frame(spark, _HINTS, "k long, t string").union(D.titled_rows(spark, sf)).select("k", text.chapter_hint(F.col("t")).alias("hint"))
 
 
 @query(
-    f"WITH {_FILES}, {_LINES}, s AS (SELECT rel, n, trim(line) AS l FROM lined WHERE rel LIKE '%.vtt'), k AS (SELECT rel, n, regexp_replace(l, '<[^>]+>', '', 'g') AS l FROM s WHERE l <> '' AND l <> 'WEBVTT' AND NOT regexp_matches(l, '^\\d{{2}}:\\d{{2}}:\\d{{2}}[.,]\\d{{3}}\\s*-->') AND NOT regexp_matches(l, '^\\d+\\s*$')), "
-    f"d AS (SELECT *, lag(l) OVER (PARTITION BY rel ORDER BY n) AS b FROM k) SELECT rel, string_agg(l, {_NL} ORDER BY n) AS text FROM d WHERE b IS NULL OR b <> l GROUP BY rel"
+    f"WITH {_FILES}, {_LINES}, s AS (SELECT rel, n, trim(line, {O._WS}) AS l FROM lined WHERE rel LIKE '%.vtt'), k AS (SELECT rel, n, regexp_replace(l, '<[^>]+>', '', 'g') AS l FROM s WHERE l <> '' AND l <> 'WEBVTT' AND NOT regexp_matches(l, '^\\d{{2}}:\\d{{2}}:\\d{{2}}[.,]\\d{{3}}\\s*-->') AND NOT regexp_matches(l, '^\\d+\\s*$')), "
+    f"d AS (SELECT *, lag(l) OVER (PARTITION BY rel ORDER BY n) AS b FROM k), j AS (SELECT rel, string_agg(l, {_NL} ORDER BY n) AS text FROM d WHERE b IS NULL OR b <> l GROUP BY rel) SELECT rel, coalesce(j.text, '') AS text FROM files LEFT JOIN j USING (rel) WHERE rel LIKE '%.vtt'"
 )
 def q_subtitle_clean(spark, sf):
-    return sections.clean_subtitles(files(spark).where("rel like '%.vtt'"))
+    return sections.clean_subtitles(files(spark, sf).where("rel like '%.vtt'"))
 
 
 @query("WITH c AS (SELECT doc_id, unnest(CASE WHEN length(text) <= 1200 THEN [0] ELSE range(0, length(text), 1080) END) AS p, text FROM documents) SELECT doc_id, CAST(p // 1080 AS INT) AS piece, substr(text, CAST(p + 1 AS INT), 1200) AS body FROM c")
@@ -222,13 +238,13 @@ def q_char_window(spark, sf):
 
 
 @query(
-    f"WITH {X.values(X.PATHS, 'p', 'rel')}, s AS (SELECT rel, string_split(rel, '/') AS x FROM p), t AS (SELECT rel, x, len(x) AS n, x[1] AS top, lower(x[1]) IN ('course', 'book', 'video', 'data') AS bucket FROM s) "
+    f"WITH {_PATHS}, s AS (SELECT rel, string_split(rel, '/') AS x FROM p), t AS (SELECT rel, x, len(x) AS n, x[1] AS top, lower(x[1]) IN ('course', 'book', 'video', 'data') AS bucket FROM s) "
     "SELECT rel, CASE WHEN bucket THEN CASE WHEN n >= 3 THEN lower(top) END WHEN n >= 2 THEN coalesce(nullif(lower(regexp_extract(top, '^(Video|Book|Data)_', 1)), ''), 'course') END AS kind, "
     "CASE WHEN bucket THEN CASE WHEN n >= 3 THEN replace(x[n - 1], '_', ' ') END WHEN n >= 2 THEN replace(regexp_replace(top, '^(Video|Book|Data)_', ''), '_', ' ') END AS course, "
     "CASE WHEN bucket AND n > 3 THEN replace(array_to_string(x[2:n - 2], '/'), '_', ' ') END AS series FROM t"
 )
 def q_classify_path(spark, sf):
-    return X.frame(spark, X.PATHS, "rel string").withColumn("c", paths.classify(F.col("rel"))).select("rel", "c.kind", "c.course", "c.series")
+    return all_paths(spark, sf).withColumn("c", paths.classify(F.col("rel"))).select("rel", "c.kind", "c.course", "c.series")
 
 
 @query(f"WITH {O.CHUNKS} SELECT rel, CAST(ordinal AS INT) AS ordinal, id FROM chunks")
@@ -267,7 +283,7 @@ def q_assign_order(spark, sf):
 @query()
 def q_ingest_files(spark, sf):
     """The whole route from files to ordered chunks."""
-    kept = files(spark).where(paths.is_source_file(F.col("rel")))
+    kept = files(spark, sf).where(paths.is_source_file(F.col("rel")))
     return sections.assign_order(sections.chunks(sections.sections(kept))).select("id", "rel", "course", "kind", "series", "section", "order", "text")
 
 
@@ -628,20 +644,27 @@ _GOLD = f"{O.lexical(O.BENCHMARK)}, gold AS MATERIALIZED (SELECT b.item_id AS qi
 _RANKS = f"{_GOLD}, asked AS (SELECT qid, min(lang) AS lang FROM gold GROUP BY qid), first AS (SELECT qid, min(rank) + 1 AS r FROM hits JOIN chunks USING (id) JOIN gold USING (qid, section) GROUP BY qid), ranks AS (SELECT qid, lang, 'course' AS kind, CAST(coalesce(r, 0) AS BIGINT) AS r FROM asked LEFT JOIN first USING (qid))"
 
 
-def _golden_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    """The items' texts are looked for among the documents that hold their first words' rarest term, not in all pairs."""
+def _golden_ranks(spark: SparkSession, sf: str, planted: bool = False) -> DataFrame:
+    """The items' texts are looked for only in documents that hold the item's rarest term; what is found is written once.
+
+    ``planted`` lets every third item expect a document that isn't there.
+    """
     items, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
     index = index_of(spark, sf)
-    # Only documents with all of an item's terms can hold its text.
-    terms = query_terms(items.select(F.col("item_id").alias("qid"), F.col("text").alias("q"))).select("qid", "tok")
-    size = terms.groupBy("qid").agg(F.count("*").alias("size"))
+    passages = items.select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    # Only documents with all of an item's terms can hold its text, so one term is enough to look by; the index lacks those of texts that are too short for a chunk.
+    terms = query_terms(passages.withColumnRenamed("passage", "q")).join(index.idf.select("tok", "df"), "tok", "left")
+    rarest = terms.groupBy("qid").agg(F.min_by("tok", F.struct(F.coalesce("df", F.lit(0)), "tok")).alias("tok"))
     words = docs.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("tok"))
-    full = words.join(terms, "tok").groupBy("qid", "doc_id").agg(F.count("*").alias("met")).join(size, "qid").where("met = size")
-    holds = full.join(items.select(F.col("item_id").alias("qid"), F.col("text").alias("passage")), "qid").join(docs, "doc_id").where(F.contains("text", "passage"))
-    expect = F.struct(F.lit("course").alias("kind"), F.lit(None).cast("string").alias("course"), F.col("doc_id").cast("string").alias("section_contains"))
+    pairs = words.join(rarest, "tok").select("qid", "doc_id")
+    holds = pairs.join(passages, "qid").join(docs.select("doc_id", "lang", "text"), "doc_id").where(F.contains("text", "passage")).select("qid", "doc_id", "lang")
+    holds = index.tables.write(holds, "holds")
+    absent = (F.col("qid") % 3 == 0) if planted else F.lit(False)
+    section = F.when(absent, "absent").otherwise(F.col("doc_id").cast("string"))
+    expect = F.struct(F.lit("course").alias("kind"), F.lit(None).cast("string").alias("course"), section.alias("section_contains"))
     gold = holds.groupBy("qid").agg(F.min("lang").alias("lang"), F.collect_list(expect).alias("expect"))
     hits = search_lexical(index, benchmark_queries(spark, sf)).join(index.chunks.select("id", "kind", "course", "section"), "id")
-    exact = hits.join(holds.select("qid", F.col("doc_id").cast("string").alias("section")), ["qid", "section"], "left_semi")
+    exact = hits.join(holds.select("qid", section.alias("section")), ["qid", "section"], "left_semi")
     return evaluate.first_ranks(gold, exact)
 
 
@@ -658,9 +681,12 @@ def q_eval_metrics(spark, sf):
     return evaluate.metrics(_golden_ranks(spark, sf)).select("grp", "n", *[six(c) for c in ("r1", "r3", "r5", "rk", "mrr")])
 
 
-@query(f"WITH {_RANKS} SELECT qid, lang, kind FROM ranks WHERE r = 0")
+_PLANTED = _RANKS.replace("CAST(d.doc_id AS VARCHAR) AS section", "CASE WHEN b.item_id % 3 = 0 THEN 'absent' ELSE CAST(d.doc_id AS VARCHAR) END AS section")
+
+
+@query(f"WITH {_PLANTED} SELECT qid, lang, kind FROM ranks WHERE r = 0")
 def q_eval_misses(spark, sf):
-    return evaluate.misses(_golden_ranks(spark, sf))
+    return evaluate.misses(_golden_ranks(spark, sf, planted=True))
 
 
 _ASKED = [(1, "ferries"), (2, "nets"), (3, "talks"), (4, "nothing")]
@@ -668,17 +694,19 @@ _SAID = {c: f"json_extract_string(e, '$.{c}')" for c in ("kind", "course", "sect
 
 
 @query(
-    f"WITH {X.values(X.GOLDEN, 'g', 'line')}, {X.values(X.HITS, 'h', 'qid, rank, kind, course, section')}, {X.values(_ASKED, 'n', 'qid, q')}, "
+    f"WITH {O.lexical(O.BENCHMARK)}, {X.values(X.GOLDEN, 'shown', 'line')}, g AS (SELECT * FROM shown UNION ALL {D.GOLDEN}), {X.values(X.HITS, 'shown_hits', 'qid, rank, kind, course, section')}, {X.values(_ASKED, 'shown_asked', 'qid, q')}, "
+    "h AS (SELECT * FROM shown_hits UNION ALL SELECT qid + 100, rank, kind, course, section FROM hits JOIN chunks USING (id)), n AS (SELECT * FROM shown_asked UNION ALL SELECT qid + 100, q FROM queries), "
     "o AS (SELECT qid, q, json_extract_string(line, '$.lang') AS lang, CASE WHEN json_type(line, '$.expect') = 'ARRAY' THEN json_extract(line, '$.expect[*]') ELSE [json_extract(line, '$.expect')] END AS es FROM g JOIN n ON q = json_extract_string(line, '$.q')), "
     f"x AS (SELECT qid, unnest(es) AS e FROM o), m AS (SELECT qid, min(rank) + 1 AS r FROM x JOIN h USING (qid) WHERE ({_SAID['kind']} IS NULL OR {_SAID['kind']} = kind) AND ({_SAID['course']} IS NULL OR contains(lower(course), lower({_SAID['course']}))) "
     f"AND ({_SAID['section_contains']} IS NULL OR contains(section, {_SAID['section_contains']})) AND coalesce({_SAID['course']}, {_SAID['section_contains']}) IS NOT NULL GROUP BY qid) "
     "SELECT q, lang, coalesce(json_extract_string(es[1], '$.kind'), 'other') AS kind, CAST(coalesce(r, 0) AS INT) AS r FROM o LEFT JOIN m USING (qid)"
 )
 def q_golden_match(spark, sf):
-    rows = golden(X.frame(spark, X.GOLDEN, "value string"))
-    numbers = X.frame(spark, _ASKED, "n int, q string")
-    numbered = rows.join(numbers, "q").select(F.col("n").alias("qid"), "q", "lang", "expect")
-    hits = X.frame(spark, X.HITS, "qid int, rank int, kind string, course string, section string")
+    index, asked = index_of(spark, sf), benchmark_queries(spark, sf)
+    numbers = X.frame(spark, _ASKED, "n long, q string").union(asked.select(F.col("qid") + 100, "q"))
+    numbered = golden_lines(spark, sf).join(numbers, "q").select(F.col("n").alias("qid"), "q", "lang", "expect")
+    found = search_lexical(index, asked).join(index.chunks.select("id", "kind", "course", "section"), "id")
+    hits = X.frame(spark, X.HITS, "qid long, rank int, kind string, course string, section string").union(found.select(F.col("qid") + 100, "rank", "kind", "course", "section"))
     found = evaluate.first_ranks(numbered, hits).join(numbered.select("qid", "q"), "qid")
     return found.select("q", "lang", "kind", F.col("r").cast("int").alias("r"))
 
@@ -734,9 +762,36 @@ def q_agent_draft(spark, sf):
 
 
 @query(
-    f"WITH {X.values(X.MESSAGES, 'm', 'k, t')}, s AS (SELECT k, trim(coalesce(t, ''), {O._WS}) AS t, lower(trim(coalesce(t, ''), {O._WS})) AS low FROM m) "
+    f"WITH {X.values(X.MESSAGES, 'shown', 'k, t')}, m AS (SELECT * FROM shown UNION ALL SELECT usr * 1000 + turn + 100, t FROM ({D.CHAT})), s AS (SELECT k, trim(coalesce(t, ''), {O._WS}) AS t, lower(trim(coalesce(t, ''), {O._WS})) AS low FROM m) "
     "SELECT k, CASE WHEN t = '' OR low IN ('/help', 'help', '帮助', '?', '？') THEN 'help' WHEN low IN ('/courses', '/course', 'courses') THEN 'courses' WHEN low LIKE '/use%' THEN 'use' WHEN low LIKE '/whoami%' THEN 'whoami' WHEN low LIKE '/teach%' THEN 'teach' ELSE 'ask' END AS action, "
     f"CASE action WHEN 'use' THEN trim(substr(t, 5), {O._WS}) WHEN 'teach' THEN trim(substr(t, 7), {O._WS}) WHEN 'ask' THEN t ELSE '' END AS argument FROM s"
 )
 def q_route_command(spark, sf):
-    return X.frame(spark, X.MESSAGES, "k int, t string").withColumn("r", messages.route(F.col("t"))).select("k", "r.action", "r.argument")
+    chat = D.chat_rows(spark, sf).select((F.col("usr") * 1000 + F.col("turn") + 100).alias("k"), "t")
+    return X.frame(spark, X.MESSAGES, "k long, t string").union(chat).withColumn("r", messages.route(F.col("t"))).select("k", "r.action", "r.argument")
+
+
+@query(
+    f"WITH {O.CHUNKS}, chat AS ({D.CHAT}), named AS (SELECT course, count(*) AS n, min(\"order\") AS first FROM chunks GROUP BY course), s AS (SELECT usr, turn, t AS raw, trim(coalesce(t, ''), {O._WS}) AS t, lower(trim(coalesce(t, ''), {O._WS})) AS low FROM chat), "
+    "r AS (SELECT *, CASE WHEN t = '' OR low IN ('/help', 'help', '帮助', '?', '？') THEN 'help' WHEN low IN ('/courses', '/course', 'courses') THEN 'courses' WHEN low LIKE '/use%' THEN 'use' WHEN low LIKE '/whoami%' THEN 'whoami' WHEN low LIKE '/teach%' THEN 'teach' ELSE 'ask' END AS action, "
+    f"CASE action WHEN 'use' THEN trim(substr(t, 5), {O._WS}) WHEN 'teach' THEN trim(substr(t, 7), {O._WS}) WHEN 'ask' THEN t ELSE '' END AS argument FROM s), "
+    "w AS (SELECT DISTINCT argument FROM r WHERE action = 'use' AND argument <> ''), pick AS (SELECT argument, course AS picked FROM w JOIN named ON contains(lower(course), lower(argument)) QUALIFY row_number() OVER (PARTITION BY argument ORDER BY lower(course) <> lower(argument), n DESC, first) = 1), "
+    "f AS (SELECT usr, turn, raw, action, r.argument, picked, last_value(picked IGNORE NULLS) OVER (PARTITION BY usr ORDER BY turn, raw ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS course FROM r LEFT JOIN pick ON action = 'use' AND r.argument = pick.argument) "
+    "SELECT usr, turn, action, argument, course, CASE WHEN action = 'use' AND argument = '' THEN 'usage' WHEN action = 'use' THEN CASE WHEN picked IS NULL THEN 'unknown' ELSE 'chosen' END WHEN action = 'teach' AND course IS NULL THEN 'choose_first' WHEN action = 'teach' AND argument = '' THEN 'usage' ELSE 'done' END AS outcome FROM f"
+)
+def q_chat_sessions(spark, sf):
+    courses = index_of(spark, sf).chunks.groupBy("course").agg(F.count("*").alias("n"), F.min("order").alias("first"))
+    return sessions.sessions(D.chat_rows(spark, sf), courses).drop("t")
+
+
+@query(
+    f"WITH lines AS ({D.ANSWERS}), ok_lines AS (SELECT json_extract_string(value, '$.custom_id') AS id, json_extract_string(value, '$.response.status_code') = '200' AS good FROM lines WHERE json_valid(value)), "
+    "answers AS (SELECT id, count(*) AS n, bool_or(good) AS good FROM ok_lines GROUP BY id), asked AS (SELECT 'd' || doc_id AS id, min(CAST(floor(doc_id / 100) AS BIGINT)) AS shard FROM documents GROUP BY ALL), "
+    "found AS (SELECT asked.id AS asked, shard, n, good FROM asked FULL JOIN answers ON asked.id = answers.id UNION ALL SELECT NULL, NULL, 1, NULL WHERE EXISTS (SELECT 1 FROM lines WHERE trim(value) <> '' AND NOT json_valid(value))) "
+    "SELECT coalesce(shard, -1) AS shard, count(asked) AS requested, count(*) FILTER (asked IS NOT NULL AND good) AS ok, count(*) FILTER (asked IS NOT NULL AND NOT good) AS failed, count(*) FILTER (asked IS NOT NULL AND n IS NULL) AS missing, "
+    "count(*) FILTER (shard IS NOT NULL AND n > 1) AS repeated, count(*) FILTER (asked IS NULL) AS stray, count(*) FILTER (asked IS NOT NULL AND good) = count(asked) AS complete FROM found GROUP BY shard"
+)
+def q_batch_fetch(spark, sf):
+    requests = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("custom_id"), F.floor(F.col("doc_id") / 100).cast("long").alias("shard"))
+    states = batch_fetch.shard_states(batch_fetch.reconcile(requests, D.answer_rows(spark, sf)))
+    return states.withColumn("shard", F.coalesce("shard", F.lit(-1).cast("long")))

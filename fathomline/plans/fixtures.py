@@ -1,4 +1,4 @@
-"""Small inline inputs for operators whose material the driver's tables lack: headings, page markers, subtitles, CJK, chat, PDFs."""
+"""Small inline inputs that queries take beside the driver's tables: odd headings, page markers, subtitles, CJK, chat, PDFs."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 _PAGE = "窗外的雨下了一整夜，河水慢慢涨到了桥边。" * 6
 
 FILES = [
-    ("Sample_Course/lesson01.md", "# 监督学习是什么\n监督学习是从标注数据中学习输入到输出映射的方法，每个样本都有输入和标签，模型学到的映射可以推广到新样本。\n\n## Temperature 采样\nSampling temperature rescales the logits; low values make the output nearly deterministic.\n### 空\n   \n## RRF 混合检索\n混合检索把 BM25 与向量检索的排名用 RRF 合并，两路都靠前的块会排到最前面。"),
+    ("Sample_Course/lesson01.md", "# 潮汐从哪里来\n月亮和太阳的引力让海水每天涨落两次，朔望时最高，上下弦时最低，港口的潮表就是这样算出来的。\n\n## Bread 发酵\nYeast turns sugar into gas, and the dough rises while gluten holds the bubbles in place.\n### 空\n   \n## GPS 定位原理\n接收机比较四颗卫星的信号到达时间，解出三个坐标和自己的钟差，再换算成地图上的一点。"),
     ("course/S1/S2/My_C/plain.txt", "intro line before any heading\n## Not a heading here\nbody text that goes on for more than forty characters in total."),
     ("book/Big_Book/pages.txt", "lost preamble\n" + "\n".join(f"[p.{i}]\n" + ("Chapter 1 Start\n" if i == 9 else "") + _PAGE for i in range(1, 21))),
     ("book/Small/nomark.txt", "只有一段散文，没有任何编号。" * 15),
