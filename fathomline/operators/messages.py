@@ -194,14 +194,3 @@ def join_pages(pages: DataFrame, mark: bool = True) -> DataFrame:
     shown = F.concat(F.lit("[p."), F.col("page").cast("string"), F.lit("]\n"), text) if mark else text
     listed = pages.groupBy("pdf").agg(F.array_sort(F.collect_list(F.when(F.length(text) > 0, F.struct("page", shown.alias("body"))))).alias("ps"))
     return listed.select("pdf", F.array_join(F.transform("ps", lambda p: p["body"]), "\n\n").alias("text"))
-
-
-def citation_lines(cites: DataFrame) -> DataFrame:
-    """``qid, text``: the display of citations ``qid, nth, course, section``."""
-    line = F.concat(F.lit("· 《"), "course", F.lit("》· "), "section")
-    listed = cites.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("nth", line.alias("line")))).alias("ls"))
-    return listed.select("qid", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"))
-
-
-def in_order(rows: DataFrame, part: str, order: str) -> DataFrame:
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(part).orderBy(order)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fathomline.functions.text import tokens
-from fathomline.functions.vectors import dot, half as at_half, normalize, truncate
+from fathomline.functions.vectors import half as at_half, normalize, truncate
 
 from .lexical import DECIMALS
 
@@ -52,9 +52,9 @@ def truncated(store: DataFrame, dim: int, half: bool = True) -> DataFrame:
 def topk(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest vectors of each query ``qid, vec``: ``qid, id, rank, cos``.
 
-    The store is read once and not moved: each batch of it is multiplied with
-    the block of query vectors, keeps its own ``k`` best, and only those are
-    shuffled. Queries come in blocks of QUERY_BLOCK so that what is broadcast
+    The store is not moved: its batches are multiplied with the block of query
+    vectors, each partition keeps its ``k`` best over all its batches, and only
+    those are shuffled, however many vectors are equally near. Queries come in blocks of QUERY_BLOCK so that what is broadcast
     has a fixed size.
     """
     asked = queries.where("vec is not null").select("qid", normalize(F.col("vec")).alias("vec"))
@@ -89,6 +89,9 @@ def _block_topk(store: DataFrame, qids: list, matrix: np.ndarray, k: int, qid_ty
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, q = sent.value
+        best, pending = None, []
+        # What the k-th best of each query is so far; a partition's later batches must reach it.
+        least = np.full(len(names), -np.inf)
         for batch in batches:
             # Vectors that are null or of another length than the queries' have no cosine with them.
             batch = batch[[v is not None and len(v) == q.shape[1] for v in batch["vec"]]]
@@ -97,16 +100,24 @@ def _block_topk(store: DataFrame, qids: list, matrix: np.ndarray, k: int, qid_ty
                 continue
             x /= np.where((n := np.linalg.norm(x, axis=1)) == 0, 1, n)[:, None]
             cos = q @ x.T
-            # Ties at the edge are kept, so that the final order decides about them.
             edge = np.partition(cos, -min(k, len(x)), axis=1)[:, -min(k, len(x))]
-            i, j = np.nonzero(cos >= edge[:, None] - 1e-8)
-            yield pd.DataFrame({"qid": [names[a] for a in i], "id": ids[j], "cos": cos[i, j]})
+            i, j = np.nonzero(cos >= np.maximum(edge, least)[:, None] - 1e-8)
+            pending.append(pd.DataFrame({"at": i, "id": ids[j], "cos": cos[i, j]}))
+            if sum(map(len, pending)) > 2 * k * len(names):
+                best = _first_k([best, *pending], k)
+                pending = []
+                full = best.groupby("at")["cos"].agg(["min", "size"])
+                full = full[full["size"] == k]
+                least[full.index.to_numpy()] = full["min"].to_numpy()
+        if best is not None or pending:
+            best = _first_k([best, *pending], k)
+            yield pd.DataFrame({"qid": [names[a] for a in best["at"]], "id": best["id"], "cos": best["cos"]})
 
     return store.select("id", "vec").mapInPandas(run, f"qid {qid_type}, id {dict(store.dtypes)['id']}, cos double")
 
 
-def pair_cosines(pairs: DataFrame, store: DataFrame, queries: DataFrame) -> DataFrame:
-    """``qid, id, cos`` of given pairs ``qid, id``."""
-    asked = queries.select("qid", normalize(F.col("vec")).alias("qv"))
-    held = store.select("id", normalize(F.col("vec")).alias("iv"))
-    return pairs.join(held, "id").join(asked, "qid").select("qid", "id", dot(F.col("qv"), F.col("iv")).alias("cos"))
+def _first_k(parts: list, k: int) -> pd.DataFrame:
+    """The first ``k`` rows of each query in the final order: by cosine at the decimals that count, then by id."""
+    rows = pd.concat([p for p in parts if p is not None], ignore_index=True)
+    rows = rows.assign(shown=rows["cos"].round(DECIMALS)).sort_values(["at", "shown", "id"], ascending=[True, False, True])
+    return rows.groupby("at").head(k).drop(columns="shown")
