@@ -23,6 +23,7 @@ from fathomline.llm.quality import QualityClassifier
 from fathomline.llm.queries import URL_RULES, byte_bpe_path, piece_bpe_path
 from fathomline.llm.secret_scan import SecretScanner, example_findings, measure
 from fathomline.llm.storage import Scratch
+from fathomline.llm import topk_search
 from fathomline.llm.topk_search import TopKSearch
 from fathomline.llm.toxicity import ToxicityClassifier
 from fathomline.llm.url_filter import UrlFilter
@@ -344,6 +345,40 @@ def test_topk(spark):
     assert TopKSearch().search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_topk_shards_are_bounded_and_a_task_returns_k_rows(spark, monkeypatch):
+    """One batch of many documents makes several shards; thresholds pass from one to the next and nothing is lost."""
+    r = random.Random(10)
+    texts = [" ".join(r.choice(["the", "of", *[f"w{j}" for j in range(80)]]) for _ in range(r.randint(1, 60))) for _ in range(500)]
+    forward = next(iter(topk_search._forward(iter([pa.RecordBatch.from_pydict({"id": list(range(500)), "text": texts})]))))
+    terms, counts = forward.column("terms").to_pylist(), forward.column("counts").to_pylist()
+    worth = {t: 1 + (t % 97) / 50 for t in set().union(*terms)}
+    asked = [(i, terms[i], [worth[t] for t in terms[i]]) for i in range(0, 500, 5)]
+    sent = TopKSearch._sent(spark.createDataFrame(asked, "id long, terms array<long>, weights array<double>"))
+    sizes, made = [], topk_search.Shard
+
+    def shard(ids, *more):
+        sizes.append(len(ids))
+        return made(ids, *more)
+
+    monkeypatch.setattr(topk_search, "Shard", shard)
+    mean = float(np.mean(forward.column("size").to_numpy()))
+    found = {}
+    for part in topk_search._searcher(sent, 3, mean, 1.2, 0.75, 8, 70)(iter([forward])):
+        for q, d, s in zip(*(c.to_pylist() for c in part.columns)):
+            found.setdefault(q, []).append((-s, d))
+    assert sum(sizes) == 500 and max(sizes) <= 70
+    assert max(len(f) for f in found.values()) == 3
+    length = forward.column("size").to_pylist()
+    for q, ts, ws in asked:
+        w, scored = dict(zip(ts, ws)), []
+        for d in range(500):
+            s = sum(w[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * length[d] / mean)) for t, c in zip(terms[d], counts[d]) if t in w)
+            if s:
+                scored.append((-round(s, 9), d))
+        best = sorted(scored)[:3]
+        assert [d for _, d in sorted(found[q])] == [d for _, d in best] and [s for s, _ in sorted(found[q])] == pytest.approx([s for s, _ in best], abs=1e-8)
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     table = spark.read.parquet(f"{sf}/documents.parquet")
