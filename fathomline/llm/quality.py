@@ -2,7 +2,7 @@
 
 Every text becomes a vector of layout and repetition measures in one pass over
 its bytes. Preference pairs join a labelled good document with a labelled bad
-one; the Bradley-Terry model, P(winner beats loser) = sigmoid(w.(x_win -
+one, and every labelled row takes part in them; the Bradley-Terry model, P(winner beats loser) = sigmoid(w.(x_win -
 x_lose)), is a logistic regression on feature differences without intercept
 and gives each document the strength w.x. Documents are then cut at a quantile
 of the strengths.
@@ -11,18 +11,19 @@ of the strengths.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import bytetext as B
-from .labelled import fold, labelled_sample
+from .labelled import fold, labelled_rows, placed
 from .storage import Scratch
 
 FEATURES = (
@@ -109,8 +110,9 @@ class QualityModel:
 class QualityClassifier:
     """Scores documents by strength; ``predicted`` is 1 from ``accept`` on.
 
-    ``fit`` learns from at most ``bound`` labelled rows and ``pairs`` preference
-    pairs. ``score`` returns ``doc_id, held_out, score, predicted, strength``
+    ``fit`` learns from all labelled rows outside the held-out fold, from at
+    least ``pairs`` preference pairs and ``each`` of every row, as far as there
+    are so many. ``score`` returns ``doc_id, held_out, score, predicted, strength``
     for every row of the documents, ``keep`` the documents that aren't rejected.
 
     Defined cases: a null text counts as empty and is scored like any other. A
@@ -120,45 +122,50 @@ class QualityClassifier:
     not read.
     """
 
-    def __init__(self, bound: int = 20_000, pairs: int = 40_000, parts: int = 4, held_out: int = 2, accept: float = 0.7, ridge: float = 1e-3):
-        self.bound, self.pairs, self.parts, self.held_out, self.accept, self.ridge = bound, pairs, parts, held_out, accept, ridge
+    def __init__(self, pairs: int = 40_000, each: int = 2, parts: int = 4, held_out: int = 2, accept: float = 0.7, ridge: float = 1e-3):
+        self.pairs, self.each, self.parts, self.held_out, self.accept, self.ridge = pairs, each, parts, held_out, accept, ridge
 
     def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
         scratch = Scratch(docs.sparkSession, "quality")
-        sample = labelled_sample(labels, "quality", self.bound, self.parts, self.held_out)
-        source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        known = source.join(F.broadcast(sample), "id")  # the sample is bounded
-        known = scratch.save(known.select("id", feature_column(layout_features, F.col("text")).alias("x"), "y"))
-        rows = known.select("x", "y").toArrow()  # at most the bound: numbers only
+        rows = labelled_rows(labels, "quality", self.parts, self.held_out)
+        source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(fold("id", self.parts) != self.held_out)
+        # Texts are measured where they are; their features meet the labels.
+        known = scratch.save(source.select("id", feature_column(layout_features, F.col("text")).alias("x")).join(rows, "id"))
         k = len(FEATURES)
-        x = np.asarray(rows.column("x").combine_chunks().flatten(), float).reshape(rows.num_rows, k)
-        y = np.asarray(rows.column("y"), int)
-        n_good, n_bad = int((y == 1).sum()), int((y == 0).sum())
+        seen = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        n_good, n_bad = seen.get(1, 0), seen.get(0, 0)
         if not n_good or not n_bad:
             scratch.keep()
             return QualityModel((0.0,) * k, (0.0,) * k, (1.0,) * k, 0.0, 0.0, 1.0)
-        center, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-        z = (x - center) / scale
+        about = known.select(Summarizer.metrics("mean", "std").summary(array_to_vector("x")).alias("m")).first().m
+        center, scale = about.mean.toArray(), np.maximum(about.std.toArray(), 1e-6)
         told = scratch.save(self._pairs(known, scale, n_good, n_bad))
         fitted = LogisticRegression(fitIntercept=False, standardization=False, regParam=self.ridge, maxIter=50).fit(told.select(array_to_vector("x").alias("features"), "label"))
-        scratch.keep()
         w = fitted.coefficients.toArray()
-        s = z @ w
-        share = _best_share(s, y)
-        cut = float(np.quantile(s, share))
-        slope = _slope(s - cut, y)
-        return QualityModel(tuple(w), tuple(center), tuple(scale), cut, share, slope)
+        model = QualityModel(tuple(w.tolist()), tuple(center.tolist()), tuple(scale.tolist()), 0.0, 0.0, 1.0)
+        strengths = known.select(self._strength(model).alias("s"), "y").repartitionByRange("s").withColumn("lot", F.spark_partition_id())
+        strengths = scratch.save(strengths)
+        share, cut = _best_cut(strengths, n_good, n_bad)
+        model = replace(model, cut=cut, share_cut=share, slope=_slope(strengths, cut, n_good + n_bad))
+        scratch.keep()
+        return model
 
     def _pairs(self, known: DataFrame, scale: np.ndarray, n_good: int, n_bad: int) -> DataFrame:
-        """Preference pairs ``x, label``: scaled differences of a good row's features and a bad one's, half of them told the other way round."""
-        rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "x")) - 1  # of a bounded sample
-        ranked = known.select("y", "x", rank.cast("long").alias("rank"))
-        side = lambda y, name: ranked.where(F.col("y") == y).select(F.col("rank").alias(name), F.col("x").alias(f"x_{name}"))
-        p = F.col("id")
-        dealt = known.sparkSession.range(min(self.pairs, n_good * n_bad)).select(p, ((F.floor(p / n_bad) + p * 7919) % n_good).alias("good"), (p % n_bad).alias("bad"))
-        sign = F.when(p % 2 == 1, 1.0).otherwise(-1.0)
+        """Preference pairs ``x, label``: scaled differences of a good row's features and a bad one's, half of them told the other way round.
+
+        Rows are numbered in the order of lots by hash. Pair ``p`` takes the
+        rows ``p`` modulo their classes' sizes, shifted by one whenever these
+        have come round together, so that pairs are distinct.
+        """
+        lots = -(-(n_good + n_bad) // 10_000)
+        ranked = placed(known.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(lots))), ["y"], F.xxhash64("id"), "id", "x")
+        side = lambda y, name: ranked.where(F.col("y") == y).select(F.col("place").alias(name), F.col("x").alias(f"x_{name}"))
+        p, round_ = F.col("id"), math.lcm(n_good, n_bad)
+        total = min(max(self.pairs, self.each * max(n_good, n_bad)), n_good * n_bad)
+        dealt = known.sparkSession.range(total).select(p, (p % n_good).alias("good"), ((p + F.floor(p / round_)) % n_bad).alias("bad"))
+        sign = F.when(F.xxhash64("id") % 2 == 0, 1.0).otherwise(-1.0)
         apart = [(F.get("x_good", F.lit(j)) - F.get("x_bad", F.lit(j))) / float(s) * sign for j, s in enumerate(scale)]
-        return dealt.join(F.broadcast(side(1, "good")), "good").join(F.broadcast(side(0, "bad")), "bad").select(F.array(*apart).alias("x"), (sign > 0).cast("double").alias("label"))
+        return dealt.join(side(1, "good"), "good").join(side(0, "bad"), "bad").select(F.array(*apart).alias("x"), (sign > 0).cast("double").alias("label"))
 
     def _strength(self, model: QualityModel) -> Column:
         return sum((F.get("x", F.lit(j)) - c) / s * w for j, (w, c, s) in enumerate(zip(model.weights, model.center, model.scale)))
@@ -179,27 +186,35 @@ class QualityClassifier:
         return measured.where(self._strength(model) >= model.cut).select("d.*")
 
 
-def _best_share(s: np.ndarray, y: np.ndarray) -> float:
-    """The share of documents to reject: the quantile with the best mean of both classes' accuracies, amid its plateau."""
+def _best_cut(strengths: DataFrame, n_good: int, n_bad: int) -> tuple[float, float]:
+    """The share of documents to reject and its quantile: the one with the best mean of both classes' accuracies, amid its plateau.
+
+    ``strengths(s, y, lot)`` lie in lots by ranges of ``s``. The quantiles are
+    exact, interpolated between two neighbours in the order of all rows, and all
+    rows are counted between them.
+    """
     shares = np.linspace(0, 1, 401)
-    cuts = np.quantile(s, shares)
-    good, bad = np.sort(s[y == 1]), np.sort(s[y == 0])
-    kept = 1 - np.searchsorted(good, cuts) / len(good)
-    gone = np.searchsorted(bad, cuts) / len(bad)
-    both = kept + gone
+    at = shares * (n_good + n_bad - 1)
+    low, high = np.floor(at).astype(int), np.ceil(at).astype(int)
+    asked = np.unique(np.concatenate([low, high])).tolist()
+    value = {r.place: r.s for r in placed(strengths, [], "s").where(F.col("place").isin(asked)).select("place", "s").collect()}
+    a, b = (np.array([value[i] for i in ends]) for ends in (low, high))
+    cuts = a + (b - a) * (at - low)
+    splits, of = np.unique(cuts, return_inverse=True)
+    told = Bucketizer(splits=[-math.inf, *splits.tolist(), math.inf], inputCol="s", outputCol="bucket").transform(strengths)
+    below = np.zeros((2, len(splits) + 1))
+    for r in told.groupBy("y", "bucket").agg(F.count("*").alias("n")).collect():
+        below[r.y, int(r.bucket)] = r.n
+    gone = np.cumsum(below, axis=1)[:, of] / np.array([[n_bad], [n_good]])
+    both = gone[0] + 1 - gone[1]
     best = np.flatnonzero(both >= both.max() - 1e-9)
-    return float(shares[best[len(best) // 2]])
-
-
-def _slope(s: np.ndarray, y: np.ndarray) -> float:
-    """The steepness of the logistic curve through the cut, by Newton's method on one number and a shift."""
-    scale = max(float(np.std(s)), 1e-9)
-    u, a, b = s / scale, 1.0, 0.0
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a * u + b, -30, 30)))
-        v = p * (1 - p)
-        g = np.array([np.sum((y - p) * u), np.sum(y - p)]) - 1e-2 * np.array([a, b])
-        hess = np.array([[np.sum(v * u * u), np.sum(v * u)], [np.sum(v * u), np.sum(v)]]) + 1e-2 * np.eye(2)
-        step = np.linalg.solve(hess, g)
-        a, b = a + float(np.clip(step[0], -2, 2)), b + float(np.clip(step[1], -2, 2))
-    return max(a, 0.1) / scale
+    best = best[len(best) // 2]
+    return float(shares[best]), float(cuts[best])
+
+
+def _slope(strengths: DataFrame, cut: float, n: int) -> float:
+    """The steepness of the logistic curve through the cut, by logistic regression on one number and a shift."""
+    scale = max(strengths.agg(F.stddev_pop("s")).first()[0], 1e-9)
+    rows = strengths.select(array_to_vector(F.array((F.col("s") - cut) / scale)).alias("features"), F.col("y").cast("double").alias("label"))
+    fitted = LogisticRegression(standardization=False, regParam=1e-2 / n, maxIter=50).fit(rows)
+    return max(float(fitted.coefficients[0]), 0.1) / scale

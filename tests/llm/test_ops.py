@@ -19,7 +19,7 @@ from fathomline.llm.embedding_duplicates import EmbeddingDuplicates
 from fathomline.llm.nbest_pieces import SPACE, NBestPieces, Pieces
 from fathomline.llm.near_duplicates import NearDuplicates
 from fathomline.llm.packing import BestFitPacker, solve
-from fathomline.llm.quality import QualityClassifier
+from fathomline.llm.quality import QualityClassifier, layout_features
 from fathomline.llm.queries import URL_RULES, byte_bpe_path, piece_bpe_path
 from fathomline.llm.secret_scan import SecretScanner, example_findings, measure
 from fathomline.llm.storage import Scratch
@@ -280,6 +280,30 @@ def test_classifiers(spark, labelled, made, label, parts, out, cut):
     assert c.score(table.limit(0), c.fit(table.limit(0), labels.limit(0))).count() == 0
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """Means, pairs and the cut come from all rows outside the fold, however many there are."""
+    r = random.Random(12)
+    n = 30_000
+    y = [int(r.random() < 0.7) for _ in range(n)]
+    texts = [" ".join(r.choice(["plain", "words", "here", "Of", "all"]) if r.random() < (0.8 if good else 0.5) else r.choice(["A|B", "!!", "###"]) for _ in range(r.randint(3, 12))) for good in y]
+    table = spark.createDataFrame(pa.table({"doc_id": list(range(n)), "text": texts}))
+    model = QualityClassifier().fit(table, spark.createDataFrame(pa.table({"doc_id": list(range(n)), "quality": y})))
+    kept = np.array([zlib.crc32(str(i).encode()) % 4 != 2 for i in range(n)])
+    assert kept.sum() > 20_000
+    x, y = layout_features(pa.array(texts))[kept], np.array(y)[kept]
+    assert np.allclose(model.center, x.mean(0), rtol=1e-9, atol=1e-12) and np.allclose(model.scale, np.maximum(x.std(0), 1e-6), rtol=1e-3)
+    s = (x - model.center) / model.scale @ np.array(model.weights)
+    cuts = np.quantile(s, np.linspace(0, 1, 401))
+    both = [(s[y == 1] >= c).mean() + (s[y == 0] < c).mean() for c in cuts]
+    assert model.cut == pytest.approx(np.quantile(s, model.share_cut), abs=1e-9)
+    assert (s[y == 1] >= model.cut).mean() + (s[y == 0] < model.cut).mean() == pytest.approx(max(both), abs=1e-3)
+    known = spark.createDataFrame([(i, [float(i)], int(i < 7)) for i in range(12)], "id long, x array<double>, y int")
+    pairs = [tuple(p) for p in QualityClassifier(pairs=1)._pairs(known, np.ones(1), 7, 5).select(F.abs(F.get("x", F.lit(0)))).collect()]
+    assert len(pairs) == 14
+    every = QualityClassifier()._pairs(known.withColumn("x", F.array(F.when(F.col("y") == 1, F.col("id") * 100.0).otherwise(F.col("id")))), np.ones(1), 7, 5)
+    assert every.select(F.abs(F.get("x", F.lit(0)))).distinct().count() == 35
+
+
 def test_secrets(spark):
     key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
     rows = [(1, f'so the token = "{key}" ends'), (1, "another text of the id"), (2, f"commit {key} fixed it"), (3, None), (4, ""), (None, f'secret = "{key}" x {key[::-1]}'), (5, "plain prose without any")]
