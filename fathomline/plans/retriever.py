@@ -97,12 +97,11 @@ class HybridRetriever(LexicalRetriever):
         if kind:
             store = store.where(F.col("kind") == kind)
         asked = self.embed(queries.select(F.col("qid").alias("id"), F.col("q").alias("text"))).select(F.col("id").alias("qid"), "vec")
-        scored = hybrid.all_scores(self.index, queries, config)
-        hits = hybrid.search_hybrid(self.index, queries, topk(store, asked, config.recall_pool), config, course, kind, scored)
+        hits = hybrid.search_hybrid(self.index, queries, topk(store, asked, config.recall_pool), config, course, kind)
         if not config.rerank:
-            return hits
-        best = hybrid.rerank(hits, queries, self.index, k, scored=scored)
-        return best.join(hits.drop("rank"), ["qid", "id"])
+            return hits.drop("tfidf")
+        best = hybrid.rerank(hits, queries, self.index, k)
+        return best.join(hits.drop("rank", "tfidf"), ["qid", "id"])
 
     def scores(self, claims: DataFrame) -> DataFrame:
         own = self.embed(claims.select(F.col("qid").alias("id"), F.col("claim").alias("text"))).select(F.col("id").alias("qid"), "vec")
