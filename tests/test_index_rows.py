@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fathomline.functions.text import strip
 from fathomline.operators import evaluate, index as index_module, lexical, sections
 from fathomline.operators.index import Index, doc_freq, idf_stats, postings
 from fathomline.operators.lexical import lexical_scores, search_lexical
@@ -99,3 +100,9 @@ def test_passages_are_found_where_their_rarest_term_is(spark, index):
     docs = spark.createDataFrame([(1, "en", "a w1 w2, w3"), (2, "de", "w1 w2, w3 and !?"), (3, "en", "w2 w1"), (4, "en", None), (5, None, "zz")], "doc_id long, lang string, text string")
     passages = spark.createDataFrame([(1, "w1 w2, w3"), (2, "!?"), (3, "zz"), (4, None), (5, "w9")], "qid int, passage string")
     assert sorted(map(tuple, evaluate.holders(passages, docs, index).collect())) == [(1, 1, "en"), (1, 2, "de"), (2, 2, "de"), (3, 5, None)]
+
+
+def test_strip_looks_at_both_ends(spark):
+    texts = ["", " ", "a", " a", "a\n", "\u2028a b\x1c", "\u3000", "a\n\n", "b \n c", "\x85x", "\U0001f600 ", None]
+    got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", strip(F.col("t")).alias("s")).orderBy("i").collect()]
+    assert got == [None if t is None else t.strip() for t in texts]
