@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathomline.functions.text import strip
+from fathomline.functions.text import strip_column
 from fathomline.operators import evaluate, index as index_module, lexical, sections
 from fathomline.operators.index import Index, doc_freq, idf_stats, postings
 from fathomline.operators.lexical import lexical_scores, search_lexical
@@ -104,5 +104,5 @@ def test_passages_are_found_where_their_rarest_term_is(spark, index):
 
 def test_strip_looks_at_both_ends(spark):
     texts = ["", " ", "a", " a", "a\n", "\u2028a b\x1c", "\u3000", "a\n\n", "b \n c", "\x85x", "\U0001f600 ", None]
-    got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", strip(F.col("t")).alias("s")).orderBy("i").collect()]
+    got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", strip_column(F.col("t")).alias("s")).orderBy("i").collect()]
     assert got == [None if t is None else t.strip() for t in texts]
